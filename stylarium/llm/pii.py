@@ -72,7 +72,7 @@ def digits(m: Column) -> Column:
 
 
 def luhn(number: Column) -> Column:
-    values = F.transform(F.split(F.reverse(number), ""), lambda c: c.cast("int"))
+    values = F.transform(F.split(F.reverse(number), ""), lambda c: c.try_cast("int"))
     total = F.aggregate(
         F.transform(values, lambda v, i: F.when(i % 2 == 0, v).when(v > 4, 2 * v - 9).otherwise(2 * v)),
         F.lit(0),
@@ -89,7 +89,7 @@ def passes(kind: str, m: Column) -> Column:
         return ~F.exists(
             F.split(m, "\\."),
             lambda p: (F.length(F.regexp_replace(p, "^0+", "")) > 3)
-            | F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).cast("int") > 255, F.lit(False)),
+            | F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).try_cast("int") > 255, F.lit(False)),
         )
     n = F.length(digits(m))
     if kind == "card":
