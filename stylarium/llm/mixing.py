@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BUCKETS, STEPS, RIDGE, SMOOTH, TEMPER = 6, 14, 0.002, 1.0, 0.8
+BUCKETS, STEPS, RIDGE, SMOOTH, TEMPER = 6, 30, 0.002, 1.0, 0.8
 FEATURES = ("f_length", "f_word", "f_upper", "f_odd", "f_lines")
 
 

@@ -1,9 +1,8 @@
 """Toxicity (operator 9): maximum-scoring segments of token log-odds, with extreme-value calibration.
 
 Each word gets the log-odds of toxic against other labelled rows under an
-informative Dirichlet prior (the words' counts in both), divided by their
-standard error where it is doubtful. Words of clear toxic log-odds score it,
-all others a small negative drift, so that the expected score is negative. A
+informative Dirichlet prior (the words' counts in both), kept where
+it is clear against its standard error. Such words score it, all others a small negative drift, so that the expected score is negative. A
 linear scan finds all disjoint maximal-scoring segments of a text; those that an
 extreme-value law of the untoxic rows' segment scores makes significant are its
 toxic passages. A text's score is that law's probability of no such segment by
@@ -27,22 +26,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FOLDS = 5
 SAMPLE_ROWS = 4000  # labelled rows of each class that the model is fitted on, chosen by hash
 SAMPLE_CHARS = 24_000_000  # of each text sample in all
-PRIOR, DRIFT, LEAST_Z, TOP = 40.0, 0.35, 3.0, 6.0
+PRIOR, FLOOR, DRIFT, LEAST_Z, LEAST_ROWS, TOP = 40.0, 0.5, 0.35, 2.4, 2, 6.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def log_odds(toxic: dict[str, int], clean: dict[str, int], prior: float = PRIOR) -> dict[str, float]:
-    """word -> score, for words whose log-odds under the Dirichlet prior are LEAST_Z standard errors over 0."""
+    """word -> score, for words whose log-odds under the Dirichlet prior are LEAST_Z standard errors over 0.
+
+    The prior is the words' distribution in all rows, with FLOOR for any word.
+    """
     a, b = sum(toxic.values()), sum(clean.values())
     out = {}
     for w, y in toxic.items():
+        if y < LEAST_ROWS:
+            continue
         x = clean.get(w, 0)
-        pseudo = prior * (x + y) / (a + b) + 0.01
-        total = prior + 0.01
-        d = math.log((y + pseudo) / (a + total - y - pseudo)) - math.log((x + pseudo) / (b + total - x - pseudo))
-        if d / math.sqrt(1 / (y + pseudo) + 1 / (x + pseudo)) > LEAST_Z or (x == 0 and y >= 8 and d > 2):
+        pseudo = prior * (x + y) / (a + b) + FLOOR
+        d = math.log((y + pseudo) / (a + prior - y)) - math.log((x + pseudo) / (b + prior - x))
+        if d / math.sqrt(1 / (y + pseudo) + 1 / (x + pseudo)) > LEAST_Z:
             out[w] = min(d, TOP)
     return out
 
@@ -137,10 +141,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     odds = model(rows)
     # Segment scores of rows that the scores were not learned from calibrate the law and the map.
-    halves = [model(rows[1::2]), model(rows[::2])]
+    others = [model([r for j, r in enumerate(rows) if j % FOLDS != f]) for f in range(FOLDS)]
     segs = []
     for i, (words, _) in enumerate(rows):
-        own = halves[i % 2]
+        own = others[i % FOLDS]
         places = [j for j, w in enumerate(words) if w in own]
         segs.append((len(words), segments(places, [own[words[j]] for j in places])))
     y = np.array([t for _, t in rows], float)
