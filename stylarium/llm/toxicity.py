@@ -114,7 +114,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         h = np.array([[(w * z * z).mean() + 1e-4, (w * z).mean()], [(w * z).mean(), w.mean()]])
         step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
         a, b = a - float(np.clip(step[0], -5, 5)), b - float(np.clip(step[1], -5, 5))
-    return a / scale, b
+    return max(a, 0.05) / scale, b  # more evidence never lowers the score
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict | None:

@@ -328,9 +328,10 @@ def test_mixing(spark, small, odd, nothing):
 
 
 def test_toxicity(spark, small, odd, nothing):
-    labels = spark.read.parquet(f"{small}/labels.parquet")
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    rows = [r for r in queries.op9_toxicity(spark, small).collect() if r["doc_id"] in truth]
+    rows = [r for r in queries.op9_toxicity(spark, sf).collect() if r["doc_id"] in truth]
     pos = [r["score"] for r in rows if truth[r["doc_id"]] == 1]
     neg = [r["score"] for r in rows if truth[r["doc_id"]] == 0]
     assert np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]) > 0.8
