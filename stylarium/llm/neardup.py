@@ -35,7 +35,7 @@ from .common import ByteHasher, components, cut, mix64
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 36, 7, 10
 FEW = 256  # shingles up to which each register has a permutation of its own
 EMPTY = 0xFFFF
-BLOCK = 512
+BLOCK = 256
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 ODD = np.random.default_rng(7).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,25 +168,51 @@ def screener(least: float):
     return run
 
 
-def crosser(least: float):
-    """Pairs of two blocks of a bucket that lie in different components and whose estimate may reach the threshold."""
+def crosser(least: float, k: int, percent: int):
+    """Links of two blocks of a bucket between different components: estimates screen the pairs, full sets confirm them.
+
+    Pairs go by falling estimate, and those that links found before them have joined are left out.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = ByteHasher()
         for pdf in it:
             for r in pdf.itertuples():
                 one, two = pd.DataFrame(list(r.x)), pd.DataFrame(list(r.y))
                 ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
-                pairs = []
+                pairs: dict[tuple[int, int], float] = {}
                 for kind in ("many", "few"):
                     (ha, xa), (hb, xb) = _tables(one[kind]), _tables(two[kind])
                     for i in np.flatnonzero(ha):
                         j = np.flatnonzero(hb & (cb != ca[i]))
                         if len(j):
-                            j = j[estimate(xa[i][None, :], xb[j]) >= least]
-                            pairs += [(one["node"][i], two["node"][q]) for q in j]
-                if pairs:
-                    ids = np.array(pairs, np.int64)
-                    yield pd.DataFrame({"a": ids.min(axis=1), "b": ids.max(axis=1)}).drop_duplicates()
+                            e = estimate(xa[i][None, :], xb[j])
+                            pairs.update({(int(i), int(q)): float(v) for q, v in zip(j[e >= least], e[e >= least], strict=True)})
+                if not pairs:
+                    continue
+                sides = []
+                for side, frame in ((0, one), (1, two)):
+                    need = sorted({p[side] for p in pairs})
+                    sides.append(dict(zip(need, shingles(list(frame["text"].iloc[need]), k, hasher), strict=True)))
+                root: dict[int, int] = {}
+
+                def find(c: int, root: dict[int, int] = root) -> int:
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                links = []
+                for i, j in sorted(pairs, key=lambda p: (-pairs[p], p)):
+                    x, y = find(int(ca[i])), find(int(cb[j]))
+                    if x != y:
+                        s, t = sides[0][i], sides[1][j]
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(t) - both):
+                            root[max(x, y)] = min(x, y)
+                            links.append((one["node"][i], two["node"][j]))
+                if links:
+                    ids = np.array(links, np.int64)
+                    yield pd.DataFrame({"a": ids.min(axis=1), "b": ids.max(axis=1)})
 
     return run
 
@@ -213,6 +239,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
     j = percent / 100
     least = j - 4.2 * (j * (1 - j) / REGISTERS) ** 0.5
     signed = cut(
@@ -281,8 +308,9 @@ def near_duplicates(
     blocks = cut(
         named.join(open_, "key")
         .join(regs, "node")
+        .join(texts, "node")
         .groupBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block"))
-        .agg(F.collect_list(F.struct("node", "comp", "many", "few")).alias("x")),
+        .agg(F.collect_list(F.struct("node", "comp", "many", "few", "text")).alias("x")),
         "blocks",
     )
     cross = (
@@ -290,10 +318,10 @@ def near_duplicates(
         .join(blocks.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key")
         .where("block <= other")
         .select("x", "y")
-        .mapInPandas(crosser(least), "a long, b long")
+        .mapInPandas(crosser(least, k, percent), "a long, b long")
         .distinct()
     )
-    new = cut(confirmed(cross), "links")
+    new = cut(cross, "links")
     labels = cut(components(links.union(new)), "labels")
     ids = labels.join(reps.select("node", "doc_id"), "node")
     roots = ids.groupBy("comp").agg(F.min("doc_id").alias("component"))
