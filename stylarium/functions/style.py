@@ -24,9 +24,9 @@ def array_mean(a: Column) -> Column:
 
 
 def array_std(a: Column) -> Column:
-    """Population standard deviation."""
-    mean = array_mean(a)
-    return F.sqrt(ratio(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)), F.size(a)))
+    """Population standard deviation; the mean is bound once."""
+    spread = F.transform(F.array(array_mean(a)), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    return F.sqrt(ratio(spread[0], F.size(a)))
 
 
 def array_quantile(a: Column, q: float) -> Column:
@@ -38,15 +38,27 @@ def array_quantile(a: Column, q: float) -> Column:
     return F.when(F.size(a) > 0, x + (y - x) * (at - low)).otherwise(F.lit(0.0))
 
 
-def style_columns(text: Column, profile: Profile = CJK, lexicon: Column | None = None) -> dict[str, Column]:
-    """Name -> expression. lexicon: an array of literary words. Densities are per 100 characters of the whole text."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    lens = F.transform(sentences(t, profile), lambda s: F.length(s))
-    marks = count_of(t, profile.punctuation)
-    words = tokens(t, profile)
+def style_features(
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), profile: Profile = CJK, lexicon: Column | None = None
+) -> DataFrame:
+    """The kept columns and the 20 features; empty texts are all zeros. Densities are per 100 characters of the whole text.
+
+    lexicon: an array of literary words. What several features share is its own
+    projection below, so it is computed once a row.
+    """
+    raw = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    t = F.col("_t")
+    rows = raw.select(
+        *keep,
+        "_t",
+        F.length(t).alias("_n"),
+        F.transform(sentences(t, profile), lambda s: F.length(s)).alias("_lens"),
+        tokens(t, profile).alias("_words"),
+        count_of(t, profile.punctuation).alias("_marks"),
+        count_of(t, profile.native_digits).alias("_native"),
+    )
+    n, lens, words, marks, native = (F.col(c) for c in ("_n", "_lens", "_words", "_marks", "_native"))
     hit = F.size(F.filter(words, lambda w: F.array_contains(lexicon, w))) if lexicon is not None else F.lit(0)
-    native = count_of(t, profile.native_digits)
     density = lambda x: ratio(100 * x, n)
     out = {
         "sent_len_mean": array_mean(lens),
@@ -65,13 +77,7 @@ def style_columns(text: Column, profile: Profile = CJK, lexicon: Column | None =
     }
     for i, w in enumerate(profile.function_words, 1):
         out[f"fw_{i}"] = density((n - F.length(F.replace(t, F.lit(w), F.lit("")))) / len(w))
-    return out
-
-
-def style_features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), profile: Profile = CJK) -> DataFrame:
-    """The kept columns and the 20 features; empty texts are all zeros."""
-    cols = style_columns(F.col(text), profile)
-    return docs.select(*keep, *[cols[c].alias(c) for c in NAMES])
+    return rows.select(*keep, *[out[c].alias(c) for c in NAMES])
 
 
 def fit_reference(features: DataFrame, floor: float = 1e-6) -> DataFrame:
