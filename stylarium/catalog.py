@@ -271,7 +271,8 @@ def f42_pinc(spark, sf_dir):
 SELECT doc_id, CAST(line AS INTEGER) AS line, 'benchmark' AS kind, count(*) AS count, array_to_string(list_sort(list_distinct(list(substr(sha256(w), 1, 12)))), ',') AS hashes FROM g JOIN b USING (w) JOIN pos USING (doc_id, at) GROUP BY ALL""")
 def a30_leak_hits(spark, sf_dir):
     src = leak.source_windows(table(spark, sf_dir, "benchmark"), "text", "benchmark", profile=LATIN)
-    return leak.leak_hits(table(spark, sf_dir, "documents"), src, "doc_id", "text", profile=LATIN).withColumn("hashes", F.array_join("hashes", ","))
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")  # few files: spread the windows over all cores
+    return leak.leak_hits(docs, src, "doc_id", "text", profile=LATIN).withColumn("hashes", F.array_join("hashes", ","))
 
 
 @query(f"""WITH {PAIRS_SQL}, w AS (SELECT pair_id, list_distinct({TOKENS_SQL.format('src')}) AS s, list_distinct({TOKENS_SQL.format('out')}) AS o FROM pairs)

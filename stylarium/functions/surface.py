@@ -16,8 +16,11 @@ from .text import CJK, Profile, grams, only
 def pinc(candidate: Column, source: Column, n: int, profile: Profile = CJK) -> Column:
     """Share of the candidate's gram occurrences that the source lacks; null where the candidate is shorter than n."""
     mine, theirs = grams(only(candidate, profile.letters), n), F.array_distinct(grams(only(source, profile.letters), n))
-    fresh = F.size(F.filter(mine, lambda g: ~F.array_contains(theirs, g)))
-    return F.when(F.size(mine) > 0, fresh.cast("double") / F.size(mine))
+    both = F.array(F.struct(mine.alias("m"), theirs.alias("t")))
+    share = lambda x: F.when(
+        F.size(x["m"]) > 0, F.size(F.filter(x["m"], lambda g: ~F.array_contains(x["t"], g))).cast("double") / F.size(x["m"])
+    )
+    return F.transform(both, share)[0]
 
 
 def pinc_mean(candidate: Column, source: Column, most: int = 4, profile: Profile = CJK) -> Column:
@@ -82,13 +85,14 @@ def contained_terms(text: Column, terms: Column) -> Column:
     return F.array_sort(F.filter(terms, lambda t: F.contains(text, t)))
 
 
-@F.pandas_udf("double")
-def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    each = [None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    return pd.Series(each, dtype="float64")
+
+
+def text_similarity(a: Column, b: Column) -> Column:
     """The ratio of the standard sequence matcher; it depends on the order of the arguments."""
-    return pd.Series(
-        [None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)],
-        dtype="float64",
-    )
+    return F.pandas_udf(_similar, "double")(a, b)
 
 
 def bleu(candidate: str, reference: str, most: int = 4) -> float:
@@ -113,6 +117,9 @@ def bleu(candidate: str, reference: str, most: int = 4) -> float:
     return brevity * math.exp(logs / order)
 
 
-@F.pandas_udf("double")
-def sentence_bleu(candidate: pd.Series, reference: pd.Series) -> pd.Series:
+def _bleus(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([bleu(x or "", y or "") for x, y in zip(candidate, reference, strict=True)])
+
+
+def sentence_bleu(candidate: Column, reference: Column) -> Column:
+    return F.pandas_udf(_bleus, "double")(candidate, reference)
