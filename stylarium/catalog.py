@@ -328,7 +328,7 @@ def x01_daily_events(spark, sf_dir):
 
 @query()
 def f40_text_similarity(spark, sf_dir):
-    return pairs(spark, sf_dir).select("pair_id", F.round(surface.text_similarity(F.col("src"), F.col("out")), 6).alias("similarity"), F.round(surface.sentence_bleu(F.col("out"), F.col("src")), 6).alias("bleu"))
+    return pairs(spark, sf_dir).select("pair_id", F.round(surface.text_similarity(F.col("out"), F.col("src")), 6).alias("similarity"), F.round(surface.sentence_bleu(F.col("out"), F.col("src")), 6).alias("bleu"))
 
 
 @query()

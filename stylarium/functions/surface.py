@@ -90,9 +90,9 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(each, dtype="float64")
 
 
-def text_similarity(a: Column, b: Column) -> Column:
-    """The ratio of the standard sequence matcher; it depends on the order of the arguments."""
-    return F.pandas_udf(_similar, "double")(a, b)
+def text_similarity(original: Column, plain: Column) -> Column:
+    """The ratio of the standard sequence matcher, the plain text as its first sequence: it depends on the order."""
+    return F.pandas_udf(_similar, "double")(plain, original)
 
 
 def bleu(candidate: str, reference: str, most: int = 4) -> float:

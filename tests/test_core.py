@@ -57,7 +57,7 @@ def test_surface(spark):
     assert p("甲乙", "甲甲丙丙丙", 1) == 0.5
     assert p("甲", "甲乙", 2) is None and p("甲乙", "甲", 2) == 1
     assert p("甲，乙1", "甲乙", 2) == 0
-    assert {one(spark, surface.text_similarity(F.lit(a), F.lit(b))) for a, b in (("tide", "diet"), ("diet", "tide"))} == {0.25, 0.5}
+    assert one(spark, surface.text_similarity(F.lit("tide"), F.lit("diet"))) == 0.5
     assert abs(surface.bleu("甲乙", "甲，乙") - 100) < 1e-9 and surface.bleu("", "甲") == 0
     empty, ab = F.array().cast("array<string>"), F.array(F.lit("a"), F.lit("b"))
     assert one(spark, surface.recall(empty, ab)) == 1 and one(spark, surface.hallucination(ab, empty)) == 0
