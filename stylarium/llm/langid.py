@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 300  # labelled rows a language that the model is fitted on
 SAMPLE_CHARS = 20_000_000  # and no more characters than this in all
 LONGEST = 12  # characters of a piece
+WORDS_AT_ONCE, CELLS_AT_ONCE = 20_000, 1_000_000  # of a lattice that is worked on at once
 WORD = re.compile(r"[^\W\d_]+")
 PIECE_START = "▁"
 
@@ -39,76 +40,128 @@ def vocabulary(path: str) -> list[str]:
     return sorted(words - {"", PIECE_START})
 
 
-def lattice(words: list[str], index: dict[str, int], unknown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (word, from, to, piece); single characters outside the vocabulary are the unknown piece."""
-    edges: list[tuple[int, int, int, int]] = []
-    for w, word in enumerate(words):
-        n = len(word)
-        marked = PIECE_START + word
-        for i in range(n):
-            known = False
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                p = index.get(marked[: j + 1] if i == 0 else word[i:j])
-                if p is not None:
-                    edges.append((w, i, j, p))
-                    known |= j == i + 1
-            if not known:
-                edges.append((w, i, i + 1, unknown))
-    e = np.array(edges, np.int32).reshape(-1, 4)
-    return e[:, 0], e[:, 1], e[:, 2], e[:, 3]
-
-
-def forward(words: list[str], index: dict[str, int], table: np.ndarray) -> np.ndarray:
+class Trie:
+    """The pieces as a tree: child nodes by (node, character), and the piece that ends at a node or -1."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        edges: dict[int, int] = {}
+        ends = {0: -1}
+        for piece, p in pieces.items():
+            node = 0
+            for c in piece:
+                node = edges.setdefault(node << 21 | ord(c), len(edges) + 1)
+                ends.setdefault(node, -1)
+            ends[node] = p
+        self.keys = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.piece = np.array([ends[n] for n in range(len(ends))], np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes have a child by char, and those children."""
+        key = node << 21 | char
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        have = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        return have, self.child[at[have]] if len(self.keys) else node[have]
+
+
+def lattice(words: list[str], trie: Trie, unknown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (word, from, to, piece) in this order; single characters outside the vocabulary are the unknown piece.
+
+    All words walk down the tree together, a character a step. A word's first piece starts with the mark.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    chars = np.frombuffer("".join(PIECE_START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = np.cumsum(sizes + 1)
+    word = np.repeat(np.arange(len(words)), sizes)
+    start = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    single = np.ones(len(word), bool)  # no piece of this one letter so far
+    place = np.arange(len(word))
+    at = (ends - sizes)[word] + start
+    at[start == 0] -= 1
+    node = np.zeros(len(word), np.int64)
+    have, node = trie.step(node, chars[at])
+    place, at = place[have], at[have] + 1
+    found = []
+    marked = start == 0
+    for _ in range(LONGEST + 1):
+        length = at - (ends - sizes)[word[place]] - start[place]
+        full = (trie.piece[node] >= 0) & (length > 0) & (length <= LONGEST)
+        found.append((place[full], length[full], trie.piece[node[full]]))
+        single[place[full & (length == 1)]] = False
+        inside = at < ends[word[place]]
+        place, at, node = place[inside], at[inside], node[inside]
+        have, node = trie.step(node, chars[at])
+        place, at = place[have], at[have] + 1
+        if not len(place):
+            break
+    alone = np.flatnonzero(single)
+    found.append((alone, np.ones(len(alone), np.int64), np.full(len(alone), unknown)))
+    place, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(place * (LONGEST + 1) + length, kind="stable")
+    place, length, piece = place[order], length[order], piece[order]
+    return word[place], start[place], start[place] + length, piece
+
+
+def chunks(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of words by rising size, so many at once that words times letters stay bounded; a longer word is alone."""
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = min(lo + WORDS_AT_ONCE, len(order))
+        while hi > lo + 1 and (hi - lo) * (int(sizes[order[hi - 1]]) + 1) > CELLS_AT_ONCE:
+            hi = lo + (hi - lo) // 2
+        yield order[lo:hi]
+        lo = hi
+
+
+def forward(words: list[str], index: Trie | dict[str, int], table: np.ndarray) -> np.ndarray:
     """(words, languages) log-probabilities, all segmentations summed. table: (pieces + 1, languages) probabilities."""
+    trie = index if isinstance(index, Trie) else Trie(index)
     out = np.empty((len(words), table.shape[1]))
-    sizes = np.array([len(w) for w in words])
-    order = np.argsort(sizes, kind="stable")
-    for lo in range(0, len(order), 20_000):
-        some = order[lo : lo + 20_000]
-        w, i, j, p = lattice([words[s] for s in some], index, len(table) - 1)
-        width = int(sizes[some].max()) + 1
+    sizes = np.array([len(w) for w in words], np.int64)
+    for some in chunks(sizes):
+        w, i, j, p = lattice([words[s] for s in some], trie, len(table) - 1)
+        n = sizes[some]
+        width = int(n[-1]) + 1
         alpha = np.zeros((len(some), width, table.shape[1]))
         alpha[:, 0] = 1
         scale = np.zeros(len(some))
         by_end = np.argsort(j, kind="stable")
         w, i, j, p = w[by_end], i[by_end], j[by_end], p[by_end]
         bounds = np.searchsorted(j, np.arange(width + 1))
+        done = np.searchsorted(n, np.arange(width + 1))
         for t in range(1, width):
             a, b = bounds[t], bounds[t + 1]
             at = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1]))) if b > a else []
             if len(at):
                 alpha[w[a:b][at], t] = np.add.reduceat(alpha[w[a:b], i[a:b]] * table[p[a:b]], at, axis=0)
             if t % 24 == 0:  # long words: keep the numbers in range
-                top = alpha[:, max(0, t - LONGEST) : t + 1].max(axis=(1, 2))
+                near = alpha[:, max(0, t - LONGEST) : t + 1]
+                top = near.max(axis=(1, 2))
                 top = np.where(top > 0, top, 1)
-                alpha[:, : t + 1] /= top[:, None, None]
+                near /= top[:, None, None]
                 scale += np.log(top)
-        n = sizes[some]
-        ended = np.full(len(some), width - 1)
-        last = alpha[np.arange(len(some)), np.minimum(n, ended)]
-        out[some] = np.log(np.maximum(last, 1e-300)) + scale[:, None]
+            x = slice(done[t], done[t + 1])  # the words that end here
+            out[some[x]] = np.log(np.maximum(alpha[x, t], 1e-300)) + scale[x, None]
     return out
 
 
 def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = 3) -> tuple[list[str], np.ndarray]:
     """Languages and the (pieces + 1, languages) table, by expectation-maximisation over word counts."""
     langs = sorted(counts)
-    index = {p: i for i, p in enumerate(pieces)}
+    trie = Trie({p: i for i, p in enumerate(pieces)})
     unknown = len(pieces)
     table = np.empty((unknown + 1, len(langs)))
     for c, lang in enumerate(langs):
         words = list(counts[lang])
         weight = np.array([counts[lang][w] for w in words], float)
         sizes = np.array([len(w) for w in words], int)
-        order = np.argsort(sizes, kind="stable")
         prob = np.full(unknown + 1, 1.0 / (unknown + 1))
-        chunks = []
-        for lo in range(0, len(order), 20_000):
-            some = order[lo : lo + 20_000]
-            chunks.append((lattice([words[s] for s in some], index, unknown), weight[some], sizes[some]))
+        parts = [(lattice([words[s] for s in some], trie, unknown), weight[some], sizes[some]) for some in chunks(sizes)]
         for _ in range(rounds):
             got = np.full(unknown + 1, 0.01)
-            for (w, i, j, p), wt, n in chunks:
+            for (w, i, j, p), wt, n in parts:
                 width = int(n.max(initial=0)) + 1
                 fwd, bwd = np.zeros((len(n), width)), np.zeros((len(n), width))
                 fwd[:, 0] = 1
@@ -155,7 +208,7 @@ def scorer(langs: list[str], table, pieces, least: float | None = None):
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, probs = langs, table.value
-        index = {p: i for i, p in enumerate(pieces.value)}
+        trie = Trie({p: i for i, p in enumerate(pieces.value)})
         known: dict[str, int] = {}
         logs = np.empty((0, len(names)))
         for pdf in it:
@@ -166,7 +219,7 @@ def scorer(langs: list[str], table, pieces, least: float | None = None):
                 known, logs = {}, np.empty((0, len(names)))
             fresh = [w for w in words if w not in known]
             if fresh and len(names):
-                logs = np.concatenate([logs, forward(fresh, index, probs)])
+                logs = np.concatenate([logs, forward(fresh, trie, probs)])
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             pred, score = np.full(len(pdf), "und", dtype=object), np.zeros(len(pdf))
             full = np.flatnonzero(sizes > 0)
