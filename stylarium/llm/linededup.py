@@ -3,13 +3,14 @@
 A line's variable fields (white-space-free runs with a digit, an at sign or a
 URL scheme) become a wildcard; what is left is its template. The tree's levels
 are the number of tokens and the first LEAD tokens; a leaf holds the templates
-that agree in these. Where at least SIMILAR of a leaf's positions have one token
-throughout, the others are generalised and the leaf is one template.
+that agree in these. Where at least SIMILAR of a leaf's positions after the LEAD
+have one token throughout, the others are generalised and the leaf is one template.
 
-A template recurs if it stands in at least min_docs documents with different
-neighbouring lines each, so copies of whole documents, which keep their
-neighbours, do not make their lines boilerplate. Every line of a recurring
-template is dropped.
+A template, plain or generalised, recurs if it stands in at least min_docs
+documents that are not copies of each other: documents whose three-word shingles
+are alike to ALIKE or more are linked, and a class of linked documents counts
+once, whatever lines surround the template. Every line of a recurring template
+is dropped.
 
 Edge cases: null text has no lines and stays null; blank lines are never
 dropped; a text all of whose lines go becomes empty. Rows with equal doc_id and
@@ -23,9 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import components, cut
 
 LEAD, SIMILAR, MIN_DOCS, SLOTS = 3, 0.6, 4, 1 << 18
+SKETCH, BANDS, ALIKE = 64, 8, 0.5
 VARIABLE = r"(?<!\S)(?:[^\s0-9@]*+[0-9@]|[a-z]++://)\S*+"
 
 
@@ -50,59 +52,92 @@ def leaf(template: Column) -> Column:
     return F.xxhash64(tokens, F.substring_index(template, " ", LEAD))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """node, comp: the documents (k) that have copies or near copies, and the class each belongs to.
+
+    A document's sketch is the least SKETCH hashes of its three-word shingles. Documents that share a band of two
+    minima are compared, each with the least document of the band; links are pairs whose sketches give a Jaccard
+    of ALIKE or more. Null doc_ids (-1) are linked with nothing.
+    """
+    words = F.split(F.lower("text"), r"\s+")
+    grams = F.transform(
+        F.array(words),  # bound once for all positions
+        lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
+    )[0]
+    least = F.slice(F.sort_array(F.array_distinct(grams)), 1, SKETCH)
+    least = docs.where("k <> -1 and trim(text) <> ''").select("k", F.transform(least, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("sketch"))
+    least = cut(least, "sketches")
+
+    def low(b: int) -> Column:
+        return F.array_min(F.filter("sketch", lambda x: x.bitwiseAND(2 * BANDS - 1) == b))
+
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), low(2 * b).alias("x"), low(2 * b + 1).alias("y")) for b in range(BANDS)])
+    keys = least.select("k", F.explode(bands).alias("b")).where("b.x is not null or b.y is not null")
+    keys = keys.select("k", F.xxhash64("b").alias("key"))
+    stars = keys.groupBy("key").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("key", "a")
+    pairs = cut(keys.join(stars, "key").where("a < k").select("a", F.col("k").alias("b")).distinct(), "pairs")
+    one, two = least.toDF("a", "x"), least.toDF("b", "y")
+    # Jaccard by the least SKETCH of both: rows of one doc_id may have several texts, any of which may link it.
+    both = F.size(F.array_intersect("x", "y"))
+    links = pairs.join(one, "a").join(two, "b").where(both >= ALIKE * (F.size("x") + F.size("y") - both))
+    return components(links.select("a", "b"))
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """k, own, lines: for each document (id and text hash) the numbers of its lines to drop."""
-    lines = docs.where("text is not null").select("k", "own", templates(F.col("text")).alias("t"))
-    lines = lines.select("k", "own", "t", F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
-    at = lambda x, i: F.struct(
-        i.alias("line"),
-        x.alias("t"),
-        F.get("h", i).alias("template"),
-        F.xxhash64(F.get("h", i - 1), F.lit("|"), F.get("h", i + 1)).alias("beside"),
-    )
+    docs = docs.where("text is not null")
+    lines = docs.select("k", "own", templates(F.col("text")).alias("t"))
+    at = lambda x, i: F.struct(i.alias("line"), x.alias("t"))
     # The outer form: texts have a line at least, and no filter that splits them a second time is inferred.
     lines = lines.select("k", "own", F.explode_outer(F.transform("t", at)).alias("x")).select("k", "own", "x.*")
-    lines = cut(lines.where("t <> ''").withColumn("leaf", leaf(F.col("t"))), "lines")
-    # One document stands for each neighbourhood; different documents are counted.
-    counts = (
-        lines.groupBy("template", "leaf", "beside")
-        .agg(F.min("k").alias("doc"))
-        .groupBy("template", "leaf", "doc")
-        .count()
-        .groupBy("template", "leaf")
-        .agg(F.count("*").alias("docs"))
-    )
-    counts = cut(counts, "templates")
-    broad = counts.groupBy("leaf").agg(F.count("*").alias("templates"), F.sum("docs").alias("docs")).where(
-        (F.col("templates") > 1) & (F.col("docs") >= min_docs)
-    )
-    # The tokens of one line of each template in leaves that may be one template. Only lines whose slot, of
-    # SLOTS at most whatever the input, has such a leaf are shuffled.
+    lines = lines.where("t <> ''").withColumn("template", F.xxhash64("t")).withColumn("leaf", leaf(F.col("t")))
+    lines = cut(lines, "lines")
+    # Leaves that may hold a recurring template. Only lines whose slot, of SLOTS at most whatever the input, has
+    # such a leaf are shuffled.
+    broad = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    broad = cut(broad.where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi"))).select("leaf"), "leaves")
     slot = F.pmod("leaf", F.lit(SLOTS)).alias("slot")
-    broad = cut(broad.select("leaf"), "leaves")
-    tokens = (
-        lines.select("t", "template", "leaf", slot)
+    lines = (
+        lines.withColumn("slot", slot)
         .join(F.broadcast(broad.select(slot).distinct()), "slot", "left_semi")
+        .drop("slot")
         .join(broad, "leaf", "left_semi")
+    )
+    lines = cut(lines, "lines")
+    # Copies are one document: a template's documents are counted by class.
+    classes = copies(docs).toDF("k", "comp")
+    found = cut(
+        lines.select("leaf", "template", "k").distinct().join(classes, "k", "left")
+        .select("leaf", "template", F.coalesce("comp", "k").alias("doc")).distinct(),
+        "templates",
+    )
+    plain = found.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
+    drop = plain.union(general(lines, found, min_docs)).distinct()
+    gone = lines.join(drop, "template", "left_semi").select("k", "own", "line").distinct()
+    return gone.groupBy("k", "own").agg(F.collect_set("line").alias("lines"))  # no more than the document's lines
+
+
+def general(lines: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
+    """template: those whose leaf is one generalised template that recurs."""
+    wide = found.groupBy("leaf").agg(
+        F.min("template").alias("lo"), F.max("template").alias("hi"), F.count_distinct("doc").alias("docs")
+    )
+    wide = wide.where((F.col("lo") < F.col("hi")) & (F.col("docs") >= min_docs)).select("leaf")
+    tokens = (
+        lines.join(wide, "leaf", "left_semi")
         .groupBy("leaf", "template")
         .agg(F.first("t").alias("t"))
         .select("leaf", F.posexplode(F.split("t", " ")).alias("place", "token"))
+        .where(F.col("place") >= LEAD)
     )
     same = (
         tokens.groupBy("leaf", "place")
         .agg((F.min("token") == F.max("token")).cast("double").alias("same"))
         .groupBy("leaf")
         .agg(F.avg("same").alias("similar"))
-        .where((F.col("similar") >= SIMILAR) & (F.col("similar") < 1))
-    )
-    drop = (
-        counts.where(F.col("docs") >= min_docs)
-        .select("template")
-        .union(counts.join(same, "leaf", "left_semi").select("template"))
-        .distinct()
+        .where(F.col("similar") >= SIMILAR)
     )
-    gone = lines.join(drop, "template", "left_semi").select("k", "own", "line").distinct()
-    return gone.groupBy("k", "own").agg(F.collect_set("line").alias("lines"))  # no more than the document's lines
+    return found.join(same, "leaf", "left_semi").select("template")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -268,6 +268,25 @@ def test_line_templates(spark):
     assert all(got[100 + i]["text"] == copies[i][1] for i in range(9))
 
 
+def prose(rng, n):
+    return " ".join(WORDS[j] for j in rng.integers(0, 400, n)).replace("x", "").translate(str.maketrans("0123456789", "abcdefghij"))
+
+
+def test_line_near_copies_stay(spark):
+    """Near copies by substituted words, and short clean lines of one beginning, are no templates."""
+    rng = np.random.default_rng(5)
+    text = [prose(rng, 20).split(" ") for _ in range(8)]
+    rows = []
+    for i in range(9):
+        mine = [x.copy() for x in text]
+        for x in mine[: 8 if i else 0]:
+            x[int(rng.integers(3, 20))] = f"new{chr(97 + i)}"
+        rows.append((i, "\n".join([*map(" ".join, mine), "a line all copies keep"])))
+    rows += [(100 + i, f"{prose(rng, 30)}\nwe saw the {chr(97 + i)}\n{prose(rng, 30)}") for i in range(9)]
+    got = by_id(linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i]["text"] == t for i, t in rows)
+
+
 def test_near_duplicates(spark, small, docs, odd, nothing):
     want = near_components(docs, 3, 85)
     for r in queries.op6_near_dedup(spark, small).collect():
