@@ -287,6 +287,18 @@ def test_line_near_copies_stay(spark):
     assert all(got[i]["text"] == t for i, t in rows)
 
 
+def test_line_boilerplate_blocks(spark):
+    """Lines set off by blank lines, and all lines of a block, recur across unrelated documents; copies' lines do not."""
+    rng = np.random.default_rng(6)
+    head, foot = "some site of news\nhome about contact\nall the latest", "privacy and terms\nall rights are ours\nback to top"
+    own = [(prose(rng, 40), prose(rng, 50)) for _ in range(7)]
+    rows = [(i, f"{head}\n\n{a}\n\nshare this with friends\n\n{b}\n\n{foot}") for i, (a, b) in enumerate(own)]
+    rows += [(100 + i, f"{prose(np.random.default_rng(1), 40)}\n\na copied line\n\n{prose(np.random.default_rng(2), 40)}") for i in range(9)]
+    got = by_id(linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all([x for x in got[i]["text"].split("\n") if x] == [a, b] for i, (a, b) in enumerate(own))
+    assert all(got[100 + i]["text"] == rows[7 + i][1] for i in range(9))
+
+
 def test_near_duplicates(spark, small, docs, odd, nothing):
     want = near_components(docs, 3, 85)
     for r in queries.op6_near_dedup(spark, small).collect():
