@@ -3,8 +3,9 @@
 A line's variable fields (white-space-free runs with a digit, an at sign or a
 URL scheme) become a wildcard; what is left is its template. The tree's levels
 are the number of tokens and the first LEAD tokens; a leaf holds the templates
-that agree in these. Where at least SIMILAR of a leaf's positions after the LEAD
-have one token throughout, the others are generalised and the leaf is one template.
+that agree in these. Where at least SIMILAR of a template's positions after the LEAD
+hold tokens that recur at their place in the leaf, the others are generalised; a
+leaf has as many generalised templates as lines of it differ in what is left.
 
 A template, plain or generalised, recurs if it stands in at least min_docs
 documents that are not copies of each other: documents whose three-word shingles
@@ -118,7 +119,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def general(lines: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
-    """template: those whose leaf is one generalised template that recurs."""
+    """template: those of generalised templates that recur.
+
+    A token is fixed if it stands at its place of the leaf in min_docs documents. A template generalises to its
+    fixed tokens, so that a leaf holds as many generalised templates as it has families; others of the leaf
+    neither join nor split them. So that the values of one more field may recur themselves, each form with one
+    fixed token less is tried too.
+    """
     wide = found.groupBy("leaf").agg(
         F.min("template").alias("lo"), F.max("template").alias("hi"), F.count_distinct("doc").alias("docs")
     )
@@ -127,17 +134,38 @@ def general(lines: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
         lines.join(wide, "leaf", "left_semi")
         .groupBy("leaf", "template")
         .agg(F.first("t").alias("t"))
-        .select("leaf", F.posexplode(F.split("t", " ")).alias("place", "token"))
+        .select("leaf", "template", F.posexplode(F.split("t", " ")).alias("place", "token"))
         .where(F.col("place") >= LEAD)
     )
-    same = (
-        tokens.groupBy("leaf", "place")
-        .agg((F.min("token") == F.max("token")).cast("double").alias("same"))
-        .groupBy("leaf")
-        .agg(F.avg("same").alias("similar"))
-        .where(F.col("similar") >= SIMILAR)
+    tokens = cut(tokens.withColumn("token", F.xxhash64("token")), "tokens")
+    fixed = (
+        tokens.join(found, ["leaf", "template"])
+        .select("leaf", "place", "token", "doc")
+        .distinct()
+        .groupBy("leaf", "place", "token")
+        .agg(F.count("*").alias("docs"))
+        .where(F.col("docs") >= min_docs)
+        .select("leaf", "place", "token")
+    )
+    # A form is the exclusive or of its fixed tokens' hashes, so that a token is left out in one step.
+    at = F.when(F.col("fixed") == 1, F.xxhash64("place", "token"))
+    forms = (
+        tokens.join(fixed.withColumn("fixed", F.lit(1)), ["leaf", "place", "token"], "left")
+        .groupBy("leaf", "template")
+        .agg(F.count("*").alias("n"), F.bit_xor(at).alias("form"), F.collect_list(at).alias("parts"))
+        .where(F.size("parts") >= SIMILAR * F.col("n"))
+    )
+    less = F.when(
+        F.size("parts") - 1 >= SIMILAR * F.col("n"), F.transform("parts", lambda x: x.bitwiseXOR(F.col("form")))
+    ).otherwise(F.array().cast("array<bigint>"))
+    forms = cut(forms.select("leaf", "template", F.explode(F.concat(F.array("form"), less)).alias("form")), "forms")
+    recur = (
+        forms.join(found, ["leaf", "template"])
+        .groupBy("leaf", "form")
+        .agg(F.count_distinct("doc").alias("docs"))
+        .where(F.col("docs") >= min_docs)
     )
-    return found.join(same, "leaf", "left_semi").select("template")
+    return forms.join(recur, ["leaf", "form"], "left_semi").select("template").distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -299,6 +299,18 @@ def test_line_boilerplate_blocks(spark):
     assert all(got[100 + i]["text"] == rows[7 + i][1] for i in range(9))
 
 
+def test_line_families_of_a_leaf(spark):
+    """Two families of one length and beginning recur, and lines unlike them neither hinder nor join them."""
+    rng = np.random.default_rng(7)
+    odd_line = "the old job went far beyond what most people had thought"
+    line = lambda i: f"the old job named {chr(97 + i)}o has ended without errors on time" if i % 2 else f"the old job was started by {chr(97 + i)}o from the main queue"
+    rows = [(i, f"{prose(rng, 30)}\n{line(i)}\n{prose(rng, 30)}") for i in range(12)] + [(50, f"{prose(rng, 30)}\n{odd_line}")]
+    assert len({len(x.split()) for x in [odd_line, line(0), line(1)]}) == 1
+    got = by_id(linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(len(got[i]["text"].split("\n")) == 2 and "job" not in got[i]["text"] for i in range(12))
+    assert got[50]["text"] == rows[12][1]
+
+
 def test_near_duplicates(spark, small, docs, odd, nothing):
     want = near_components(docs, 3, 85)
     for r in queries.op6_near_dedup(spark, small).collect():
