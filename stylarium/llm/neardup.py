@@ -83,10 +83,13 @@ def compress(value: np.ndarray, bits: int) -> np.ndarray:
     return ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
-def registers(s: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
-    """One-permutation registers (many shingles), and those of a permutation each (few)."""
+def registers(s: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """One-permutation registers (many shingles), and those of a permutation each (few).
+
+    Sizes that may reach percent with more than FEW shingles have both, so that each pair at the threshold shares a kind.
+    """
     many = few = None
-    if len(s) >= 0.85 * FEW - 1:
+    if len(s) >= percent * (FEW + 1) // 100 - 1:
         shift = np.uint64(64 - REGISTERS.bit_length() + 1)
         which = (s >> shift).astype(np.int64)
         mask = (np.uint64(1) << shift) - np.uint64(1)
@@ -111,7 +114,7 @@ def band_keys(reg: np.ndarray, kind: int) -> np.ndarray:
     return acc[used].view(np.int64)
 
 
-def signer(k: int):
+def signer(k: int, percent: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = ByteHasher()
         for pdf in it:
@@ -119,7 +122,7 @@ def signer(k: int):
             size = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
             for _, part in pdf.groupby((size // 2_000_000).astype(int), sort=False):
                 for doc, s in zip(part["doc_id"], shingles(list(part["text"]), k, hasher), strict=True):
-                    many, few = registers(s)
+                    many, few = registers(s, percent)
                     keys = [band_keys(r, kind) for kind, r in enumerate((many, few)) if r is not None]
                     rows.append(
                         (
@@ -244,7 +247,7 @@ def near_duplicates(
     least = j - 4.2 * (j * (1 - j) / REGISTERS) ** 0.5
     signed = cut(
         docs.mapInPandas(
-            signer(k),
+            signer(k, percent),
             "doc_id long, n_shingles long, set_id binary, keys array<long>, many binary, few binary",
         ),
         "signed",

@@ -344,6 +344,19 @@ def test_near_duplicate_chains(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_duplicates_across_register_kinds(spark):
+    """At 80%, pairs whose sizes lie on both sides of the border of the register kinds."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, (a, b) in enumerate([(206, 257), (208, 260), (210, 260), (212, 264), (214, 267), (216, 270), (206, 259), (216, 271)]):
+        words = [f"p{i}q{j}" for j in rng.permutation(b + 4)]
+        rows += [(2 * i, " ".join(words[: a + 4])), (2 * i + 1, " ".join(words))]
+    want = near_components(rows, 5, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert [want[2 * i + 1][1] == 2 * i for i in range(8)] == [True] * 6 + [False] * 2
+
+
 def test_mixing(spark, small, odd, nothing):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = mixing.label_domains(spark.read.parquet(f"{small}/labels.parquet"))
