@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 
 SHARD, BLOCK = 8192, 512
 WIDTH, WIDTH0, CANDIDATES, BEAM, AT_ONCE = 16, 32, 64, 160, 4
@@ -222,7 +222,7 @@ def nearest(
     is divisible by query_every; a query's own id is no candidate.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(48 << 20))
+    bound_batches(spark)
     rows = valid(vectors, id_col, vector_col)
     first = Window.partitionBy("v").orderBy("vec_id")
     ranked = rows.dropDuplicates(["vec_id", "v"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)

@@ -4,8 +4,13 @@ Each language has a probability for every piece of the vocabulary. A word's
 probability is the sum over all its segmentations into pieces, by a forward
 algorithm; a text's is the product over its words. The piece probabilities are
 fitted by expectation-maximisation (forward-backward) on the word counts of a
-bounded, hash-chosen sample of labelled rows per language; every text is scored
-whole.
+bounded, hash-chosen sample of labelled rows per language (at most SAMPLE_DOCS
+rows and, after the first row, SAMPLE_CHARS characters each); every text is
+scored whole, in parts of bounded size.
+
+keep_identified rejects a text if it has no letters, if its language is more
+doubtful than asked, or if even its best language explains it worse than
+letters drawn evenly from ALPHABET would: it is in none of the languages.
 
 Edge cases: text that is null or has no letters is `und` with score 0. Rows
 repeated stay as they are; null doc_id is neither held out nor learned from.
@@ -23,11 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 SAMPLE_DOCS = 300  # labelled rows a language that the model is fitted on
-SAMPLE_CHARS = 20_000_000  # and no more characters than this in all
+SAMPLE_CHARS = 5_000_000  # and characters a language, beyond its first row
 LONGEST = 12  # characters of a piece
-WORDS_AT_ONCE, CELLS_AT_ONCE = 20_000, 1_000_000  # of a lattice that is worked on at once
+PART = 60  # letters of a word that are learned from at once
+WORDS_AT_ONCE, CELLS_AT_ONCE = 20_000, 100_000  # of a lattice that is worked on at once
+SLICE, KNOWN_WORDS, KNOWN_LETTERS = 1_000_000, 200_000, 4_000_000  # characters split at once; words remembered
+ALPHABET = 32  # letters of the model that a language must beat
 WORD = re.compile(r"[^\W\d_]+")
+NO_LETTER = re.compile(r"[\W\d_]")
 PIECE_START = "▁"
 
 
@@ -184,54 +195,92 @@ def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = 3)
     return langs, table
 
 
-def learn(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Fits on sample_docs hash-chosen rows a language, of those that are not held out and have a language."""
+def learn(
+    docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS
+) -> tuple[list[str], np.ndarray]:
+    """Fits on the sample_docs rows of least hash a language, of those that are not held out and have a language.
+
+    Once a language has sample_chars characters, its further rows are left out; its first row never is.
+    """
     rows = docs.where("lang is not null and not held_out and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs)
+    draw = F.xxhash64("doc_id", F.lit(11))
+    # A bound on the hash, by the language's number of rows, leaves few more rows to rank than are taken.
+    sizes = rows.groupBy("lang").agg((3.0 * sample_docs / F.count("*") + 1e-6).alias("part"))
+    near = rows.select("doc_id", "lang", draw.alias("draw")).join(sizes, "lang")
+    near = near.where((F.col("draw") / float(1 << 63) + 1) / 2 <= F.col("part"))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs)
     # The ids are of bounded number, so that their texts need no shuffle.
     texts = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", "text")
     counts: dict[str, dict[str, float]] = {}
-    used = 0
+    used: dict[str, int] = {}
     for lang, text in texts.orderBy(F.xxhash64("text")).toLocalIterator():
-        if used < SAMPLE_CHARS:
-            used += len(text)
+        if used.get(lang, 0) < sample_chars:
+            used[lang] = used.get(lang, 0) + len(text)
             own = counts.setdefault(lang, {})
             for w in WORD.findall(text.lower()):
-                if len(w) <= 60:
-                    own[w] = own.get(w, 0) + 1
+                for at in range(0, len(w), PART):
+                    part = w[at : at + PART]
+                    own[part] = own.get(part, 0) + 1
     return fit(counts, pieces)
 
 
+def parts(texts: list) -> Iterator[list[tuple[int, list[str]]]]:
+    """(row, words) of the texts, so many at once that their characters are about SLICE; longer texts come in parts."""
+    some: list[tuple[int, list[str]]] = []
+    size = 0
+    for row, text in enumerate(texts):
+        at = 0
+        while isinstance(text, str) and at < len(text):
+            cut_at = NO_LETTER.search(text, at + SLICE) if len(text) - at > SLICE else None
+            end = cut_at.start() if cut_at else len(text)
+            if words := WORD.findall(text[at:end].lower()):
+                some.append((row, words))
+            size += end - at
+            at = end
+            if size >= SLICE:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
 def scorer(langs: list[str], table, pieces, least: float | None = None):
-    """Adds predictions; with least, instead keeps the rows with a language of at least this score, as they are."""
+    """Adds predictions; with least, instead keeps the identified rows of at least this score, as they are."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, probs = langs, table.value
         trie = Trie({p: i for i, p in enumerate(pieces.value)})
         known: dict[str, int] = {}
         logs = np.empty((0, len(names)))
+        letters_known = 0
         for pdf in it:
-            found = [WORD.findall(t.lower()) if isinstance(t, str) else [] for t in pdf["text"]]
-            sizes = np.array([len(f) for f in found])
-            codes, words = pd.factorize(np.array([w for f in found for w in f], dtype=object))
-            if len(known) > 300_000:
-                known, logs = {}, np.empty((0, len(names)))
-            fresh = [w for w in words if w not in known]
-            if fresh and len(names):
-                logs = np.concatenate([logs, forward(fresh, trie, probs)])
-                known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            total, letters = np.zeros((len(pdf), max(len(names), 1))), np.zeros(len(pdf))
+            for some in parts(pdf["text"].tolist()):
+                sizes = np.array([len(words) for _, words in some])
+                at = np.array([row for row, _ in some])
+                codes, words = pd.factorize(np.array([w for _, found in some for w in found], dtype=object))
+                begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                length = np.array([len(w) for w in words])
+                np.add.at(letters, at, np.add.reduceat(length[codes], begin))
+                if len(known) > KNOWN_WORDS or letters_known > KNOWN_LETTERS:
+                    known, logs, letters_known = {}, np.empty((0, len(names))), 0
+                fresh = [w for w in words if w not in known]
+                if fresh and len(names):
+                    logs = np.concatenate([logs, forward(fresh, trie, probs)])
+                    known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+                    letters_known += sum(map(len, fresh))
+                if len(names):
+                    each = logs[np.array([known[w] for w in words], int)[codes]]
+                    np.add.at(total, at, np.add.reduceat(each, begin, axis=0))
             pred, score = np.full(len(pdf), "und", dtype=object), np.zeros(len(pdf))
-            full = np.flatnonzero(sizes > 0)
+            full = np.flatnonzero(letters > 0)
+            best = total.max(axis=1)
             if len(full) and len(names):
-                each = logs[np.array([known[w] for w in words], int)[codes]]
-                total = np.add.reduceat(each, np.concatenate(([0], np.cumsum(sizes)[:-1]))[full], axis=0)
-                best = total.argmax(axis=1)
-                total = np.exp(np.minimum(total - total.max(axis=1, keepdims=True), 0))
-                pred[full] = np.array(names, dtype=object)[best]
-                score[full] = 1 / total.sum(axis=1)
+                pred[full] = np.array(names, dtype=object)[total[full].argmax(axis=1)]
+                score[full] = 1 / np.exp(np.minimum(total[full] - best[full, None], 0)).sum(axis=1)
             if least is not None:
-                yield pdf[(pred != "und") & (score >= least)]
+                yield pdf[(pred != "und") & (score >= least) & (best >= -letters * np.log(ALPHABET))]
                 continue
             out = pdf[["doc_id", "held_out"]].copy()
             out["lang_pred"], out["score"] = pred, score
@@ -242,7 +291,7 @@ def scorer(langs: list[str], table, pieces, least: float | None = None):
 
 def _model(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, lang_col: str, folds: int):
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 1, F.lit(False)))
     pieces = vocabulary(vocabulary_path)
@@ -261,7 +310,7 @@ def identify(
     )
 
 
-def keep_identified(docs: DataFrame, vocabulary_path: str, least: float = 0.5, lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, in which a language is found with at least this score, with all their columns."""
+def keep_identified(docs: DataFrame, vocabulary_path: str, least: float = 0.0, lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are in a learned language, found with at least this score, with all their columns."""
     _, langs, table, pieces = _model(docs, vocabulary_path, "doc_id", "text", lang_col, 3)
     return docs.mapInPandas(scorer(langs, table, pieces, least), docs.schema)

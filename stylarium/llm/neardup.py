@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, components, cut, mix64
+from .common import ByteHasher, bound_batches, components, cut, mix64
 
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 36, 7, 10
 FEW = 256  # shingles up to which each register has a permutation of its own
@@ -242,7 +242,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
+    bound_batches(docs.sparkSession)
     j = percent / 100
     least = j - 4.2 * (j * (1 - j) / REGISTERS) ** 0.5
     signed = cut(

@@ -2,7 +2,7 @@
 
 A document becomes the ids of a public tokenizer, then an end id. Full
 sequences are cut off its front; the rest of each document is one item. Items
-are dealt by a hash of doc_id over groups of bounded expected size, and in each
+are dealt by a hash of doc_id and row over groups of bounded expected size, and in each
 group put, longest first, into the first sequence with room, found by descending
 a tournament tree whose inner nodes hold the most room below them.
 
@@ -29,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, cut
+from .common import ByteHasher, bound_batches, cut
 
 SIZE, GROUP_ITEMS, LONG_WORD = 2048, 8192, 48
+SLICE, KNOWN_RUNS = 1_000_000, 400_000  # characters encoded at once; runs remembered
 NONE = 1 << 30  # the rank of no merge
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
@@ -157,7 +158,7 @@ class WordPieces:
             return out
         hashes = self.hasher.ranges(self.hasher.prefix(np.frombuffer(data, np.uint8)), start, end)
         codes, different = pd.factorize(hashes)
-        if len(self.known) > 1_500_000:
+        if len(self.known) > KNOWN_RUNS:
             self.forget()
         new = np.array([h not in self.known for h in different.tolist()])
         if new.any():
@@ -190,7 +191,7 @@ def tokenizer(path: str, end_id: int, size: int):
         pieces = WordPieces(path)
         for pdf in it:
             length = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
-            for _, part in pdf.groupby((length // 6_000_000).astype(int), sort=False):
+            for _, part in pdf.groupby((length // SLICE).astype(int), sort=False):
                 rows = []
                 for doc, ids in zip(part["doc_id"], pieces.encode(list(part["text"].fillna(""))), strict=True):
                     raw = np.concatenate((ids, [end_id])).astype("<u4").tobytes()
@@ -246,13 +247,14 @@ def pack(
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    bound_batches(spark)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = cut(docs.mapInPandas(tokenizer(vocabulary, end_id, size), schema), "pieces")
     groups = max(1, math.ceil(pieces.count() / GROUP_ITEMS))
     return (
-        pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+        # The written table's row numbers part rows that are alike in all else.
+        pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
         .groupBy("group")
         .applyInPandas(packer(size), f"{schema}, sequence_id long, offset long")
     )

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, cut
+from .common import ByteHasher, bound_batches, cut
 
 GRAM, GROUP, PIECE = 48, 2000, 1 << 22
 LOW = (1 << 24) - 1
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     docs: doc_id long, own long (a hash that tells rows of one doc_id apart), text.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    bound_batches(spark)
     anchors = cut(
         docs.mapInPandas(anchorer(window), "doc_id long, own long, anchor long, pos long, lo long, hi long, ctx long"), "anchors"
     )

@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 FOLDS = 5
 SAMPLE_ROWS = 4000  # labelled rows of each class that the model is fitted on, chosen by hash
-SAMPLE_CHARS = 24_000_000  # of each text sample in all
+SAMPLE_CHARS = 12_000_000  # and characters of each class, beyond its first row
 PRIOR, FLOOR, DRIFT, LEAST_Z, LEAST_ROWS, TOP = 40.0, 0.5, 0.35, 2.4, 2, 6.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -117,8 +119,12 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.05) / scale, b  # more evidence never lowers the score
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict | None:
-    """Word scores, extreme-value law and logistic map, from a bounded hash-chosen sample of labelled rows not held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict | None:
+    """Word scores, extreme-value law and logistic map, from a bounded hash-chosen sample of labelled rows not held out.
+
+    The sample has at most sample_rows rows of each class; once a class has sample_chars characters, its further
+    rows are left out.
+    """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where((F.crc32(F.col("doc_id").cast("string")) % 3) != 1)
     parts = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows) for t in (1, 0)]
@@ -126,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows, used = [], [0, 0]
     sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by sample_rows
     for text, toxic in sample.orderBy(F.xxhash64("doc_id", "text")).select("text", "toxic").toLocalIterator():
-        if used[toxic] < SAMPLE_CHARS // 2:
+        if used[toxic] < sample_chars:
             used[toxic] += len(text)
             rows.append((WORD.findall(text.lower()), toxic))
     if len({t for _, t in rows}) < 2:
@@ -179,7 +185,7 @@ def scorer(model):
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, passages (first word, word after the last, segment score)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = spark.sparkContext.broadcast(learn(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
