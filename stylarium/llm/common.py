@@ -20,7 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-BATCH_BYTES = 16 << 20  # of an Arrow batch; one value for all operators, so that the order of calls is of no matter
+BATCH_BYTES = 4 << 20  # of an Arrow batch; one value for all operators, so that the order of calls is of no matter
 _scopes: list[list[str]] = []
 
 
@@ -71,6 +71,26 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(run):
+    """run, with what its worker no longer needs given back to the machine at the end: workers wait for later stages."""
+
+    def wrapped(it):
+        try:
+            yield from run(it)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

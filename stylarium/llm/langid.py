@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 SAMPLE_DOCS = 300  # labelled rows a language that the model is fitted on
 SAMPLE_CHARS = 5_000_000  # and characters a language, beyond its first row
@@ -286,7 +286,7 @@ def scorer(langs: list[str], table, pieces, least: float | None = None):
             out["lang_pred"], out["score"] = pred, score
             yield out.astype({"doc_id": "Int64"})
 
-    return run
+    return lean(run)
 
 
 def _model(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, lang_col: str, folds: int):

@@ -36,7 +36,7 @@ def templates(text: Column) -> Column:
     """The template of each line; the patterns run only over lines that have something for them."""
 
     def varied(x: Column) -> Column:
-        return F.when(x.rlike("[0-9@]|://"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x)
+        return F.when(x.contains("://") | x.rlike("[0-9@]"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x)
 
     def spaced(x: Column) -> Column:
         odd = x.contains("  ")
@@ -60,7 +60,7 @@ def copies(docs: DataFrame) -> DataFrame:
     minima are compared, each with the least document of the band; links are pairs whose sketches give a Jaccard
     of ALIKE or more. Null doc_ids (-1) are linked with nothing.
     """
-    words = F.split(F.lower("text"), r"\s+")
+    words = F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")
     grams = F.transform(
         F.array(words),  # bound once for all positions
         lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
@@ -88,9 +88,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """k, own, lines: for each document (id and text hash) the numbers of its lines to drop."""
     docs = docs.where("text is not null")
     lines = docs.select("k", "own", templates(F.col("text")).alias("t"))
-    at = lambda x, i: F.struct(i.alias("line"), x.alias("t"))
     # The outer form: texts have a line at least, and no filter that splits them a second time is inferred.
-    lines = lines.select("k", "own", F.explode_outer(F.transform("t", at)).alias("x")).select("k", "own", "x.*")
+    lines = lines.select("k", "own", F.posexplode_outer("t").alias("line", "t"))
     lines = lines.where("t <> ''").withColumn("template", F.xxhash64("t")).withColumn("leaf", leaf(F.col("t")))
     lines = cut(lines, "lines")
     # Leaves that may hold a recurring template. Only lines whose slot, of SLOTS at most whatever the input, has

@@ -23,6 +23,7 @@ of its own set; a null doc_id is never compared and forms its own component
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,26 +31,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, bound_batches, components, cut, mix64
+from .common import ByteHasher, bound_batches, components, cut, lean, mix64
 
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 36, 7, 10
 FEW = 256  # shingles up to which each register has a permutation of its own
 EMPTY = 0xFFFF
 BLOCK = 256
+PIECE = 1 << 19  # bytes hashed at once
+GAP = re.compile(rb"[\x20\x09-\x0d]")
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 ODD = np.random.default_rng(7).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def word_hashes(raw: bytes, hasher: ByteHasher) -> tuple[np.ndarray, np.ndarray]:
+    """The start and the hash of each word, worked out over pieces of PIECE bytes that end between words."""
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    at = 0
+    while at < len(raw):
+        space = GAP.search(raw, at + PIECE)
+        stop = space.start() if space else len(raw)
+        data = np.frombuffer(raw, np.uint8, stop - at, at)
+        solid = ~WHITE[data]
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).astype(np.int8)))
+        starts.append(edge[::2] + at)
+        hashes.append(hasher.ranges(hasher.prefix(data), edge[::2], edge[1::2]))
+        at = stop
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingles(texts: list[str | None], k: int, hasher: ByteHasher) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     ends_doc = np.cumsum([len(r) + 1 for r in raw])
-    solid = ~WHITE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    words = hasher.ranges(hasher.prefix(data), start, end)
+    start, words = word_hashes(b"\n".join([*raw, b""]), hasher)
     first = np.searchsorted(start, np.concatenate(([0], ends_doc)))
     grams = np.zeros(len(words), np.uint64)
     if len(words) >= k:
@@ -120,7 +135,7 @@ def signer(k: int, percent: int):
         for pdf in it:
             rows = []
             size = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
-            for _, part in pdf.groupby((size // 2_000_000).astype(int), sort=False):
+            for _, part in pdf.groupby((size // 500_000).astype(int), sort=False):
                 for doc, s in zip(part["doc_id"], shingles(list(part["text"]), k, hasher), strict=True):
                     many, few = registers(s, percent)
                     keys = [band_keys(r, kind) for kind, r in enumerate((many, few)) if r is not None]
@@ -137,7 +152,7 @@ def signer(k: int, percent: int):
             out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_id", "keys", "many", "few"])
             yield out.astype({"doc_id": "Int64"})
 
-    return run
+    return lean(run)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,7 +232,7 @@ def crosser(least: float, k: int, percent: int):
                     ids = np.array(links, np.int64)
                     yield pd.DataFrame({"a": ids.min(axis=1), "b": ids.max(axis=1)})
 
-    return run
+    return lean(run)
 
 
 def verifier(k: int, percent: int):

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, bound_batches, cut
+from .common import ByteHasher, bound_batches, cut, lean
 
 SIZE, GROUP_ITEMS, LONG_WORD = 2048, 8192, 48
 SLICE, KNOWN_RUNS = 1_000_000, 400_000  # characters encoded at once; runs remembered
@@ -202,7 +202,7 @@ def tokenizer(path: str, end_id: int, size: int):
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
                 yield out.astype({"doc_id": "Int64"})
 
-    return run
+    return lean(run)
 
 
 def first_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list[int]]:

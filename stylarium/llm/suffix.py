@@ -28,9 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, bound_batches, cut
+from .common import ByteHasher, bound_batches, cut, lean
 
-GRAM, GROUP, PIECE = 48, 2000, 1 << 22
+GRAM, GROUP, PIECE = 48, 2000, 1 << 19
 LOW = (1 << 24) - 1
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 
 FOLDS = 5
 SAMPLE_ROWS = 4000  # labelled rows of each class that the model is fitted on, chosen by hash
@@ -179,7 +179,7 @@ def scorer(model):
             out = pd.DataFrame(rows, columns=["doc_id", "held_out", "score", "predicted", "passages"])
             yield out.astype({"doc_id": "Int64"})
 
-    return run
+    return lean(run)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
