@@ -8,7 +8,7 @@ hold tokens that recur at their place in the leaf, the others are generalised; a
 leaf has as many generalised templates as lines of it differ in what is left.
 
 A template, plain or generalised, recurs if it stands in at least min_docs
-documents that are not copies of each other: documents whose three-word shingles
+documents that are not copies of each other: documents whose two-word shingles
 are alike to ALIKE or more are linked, and a class of linked documents counts
 once, whatever lines surround the template. Every line of a recurring template
 is dropped.
@@ -39,31 +39,32 @@ def templates(text: Column) -> Column:
         return F.when(x.contains("://") | x.rlike("[0-9@]"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x)
 
     def spaced(x: Column) -> Column:
-        odd = x.contains("  ")
-        for c in "\t\x0b\f\r":
-            odd = odd | x.contains(c)
-        return F.when(odd, F.regexp_replace(x, r"\s+", " ")).otherwise(x)
+        return F.regexp_replace(x, r"\s+", " ")
 
     # One step after another binds each result, which nested conditions would work out again.
-    return F.transform(F.transform(F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(x)), varied), spaced)
+    lines = F.transform(F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(x)), varied)
+    odd = text.contains("  ")
+    for c in "\t\x0b\f\r":
+        odd = odd | text.contains(c)
+    return F.when(odd, F.transform(lines, spaced)).otherwise(lines)
 
 
 def leaf(template: Column) -> Column:
-    tokens = F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
+    tokens = F.octet_length(template) - F.octet_length(F.replace(template, F.lit(" "), F.lit(""))) + 1
     return F.xxhash64(tokens, F.substring_index(template, " ", LEAD))
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """node, comp: the documents (k) that have copies or near copies, and the class each belongs to.
 
-    A document's sketch is the least SKETCH hashes of its three-word shingles. Documents that share a band of two
+    A document's sketch is the least SKETCH hashes of its two-word shingles. Documents that share a band of two
     minima are compared, each with the least document of the band; links are pairs whose sketches give a Jaccard
     of ALIKE or more. Null doc_ids (-1) are linked with nothing.
     """
     words = F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")
     grams = F.transform(
         F.array(words),  # bound once for all positions
-        lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
+        lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))),
     )[0]
     least = F.slice(F.sort_array(F.array_distinct(grams)), 1, SKETCH)
     least = docs.where("k <> -1 and trim(text) <> ''").select("k", F.transform(least, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("sketch"))
@@ -129,11 +130,12 @@ def general(lines: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
         F.min("template").alias("lo"), F.max("template").alias("hi"), F.count_distinct("doc").alias("docs")
     )
     wide = wide.where((F.col("lo") < F.col("hi")) & (F.col("docs") >= min_docs)).select("leaf")
+    words = F.split("t", " ")
     tokens = (
-        lines.join(wide, "leaf", "left_semi")
-        .groupBy("leaf", "template")
+        lines.groupBy("leaf", "template")
         .agg(F.first("t").alias("t"))
-        .select("leaf", "template", F.posexplode(F.split("t", " ")).alias("place", "token"))
+        .join(wide, "leaf", "left_semi")
+        .select("leaf", "template", (F.size(words) - LEAD).alias("n"), F.posexplode(words).alias("place", "token"))
         .where(F.col("place") >= LEAD)
     )
     tokens = cut(tokens.withColumn("token", F.xxhash64("token")), "tokens")
@@ -147,11 +149,11 @@ def general(lines: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
         .select("leaf", "place", "token")
     )
     # A form is the exclusive or of its fixed tokens' hashes, so that a token is left out in one step.
-    at = F.when(F.col("fixed") == 1, F.xxhash64("place", "token"))
+    at = F.xxhash64("place", "token")
     forms = (
-        tokens.join(fixed.withColumn("fixed", F.lit(1)), ["leaf", "place", "token"], "left")
-        .groupBy("leaf", "template")
-        .agg(F.count("*").alias("n"), F.bit_xor(at).alias("form"), F.collect_list(at).alias("parts"))
+        tokens.join(fixed, ["leaf", "place", "token"])
+        .groupBy("leaf", "template", "n")
+        .agg(F.bit_xor(at).alias("form"), F.collect_list(at).alias("parts"))  # no more than the line's tokens
         .where(F.size("parts") >= SIMILAR * F.col("n"))
     )
     less = F.when(
