@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, lean
 
 SHARD, BLOCK = 8192, 512
 WIDTH, WIDTH0, CANDIDATES, BEAM, AT_ONCE = 16, 32, 64, 160, 4
@@ -167,33 +167,49 @@ def descend(q: np.ndarray, x: np.ndarray, levels: list[np.ndarray], beam: int) -
     return ids
 
 
+class Index:
+    """A shard's index row, unpacked: ids, vectors, the vectors searched, and the neighbour table of each level."""
+
+    def __init__(self, row) -> None:
+        self.ids = np.frombuffer(row.ids, np.int64)
+        self.v = np.frombuffer(row.vectors, np.float64).reshape(len(self.ids), row.dim)
+        norm = (self.v * self.v).sum(axis=1)
+        self.x = np.concatenate([self.v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], axis=1).astype(np.float32)
+        self.levels, at = [], 0
+        flat = np.frombuffer(row.neighbours, np.int32)
+        for lv, size in enumerate(row.sizes):
+            w = WIDTH0 if lv == 0 else WIDTH
+            self.levels.append(flat[at : at + size * w].reshape(size, w))
+            at += size * w
+
+    def search(self, qid: np.ndarray, qv: np.ndarray, k: int) -> pd.DataFrame:
+        q = np.concatenate([qv, np.zeros((len(qv), 1))], axis=1).astype(np.float32)
+        found = descend(q, self.x, self.levels, max(BEAM, 2 * k))
+        row, col = np.nonzero(found >= 0)
+        node = found[row, col]
+        s = np.einsum("nd,nd->n", self.v[node], qv[row])
+        order = np.lexsort((self.ids[node], -s, row))
+        row, node, s = row[order], node[order], s[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k + 1
+        return pd.DataFrame({"query_id": qid[row[top]], "rep": self.ids[node[top]], "score": s[top]})
+
+
 def searcher(k: int):
+    """Rows sorted by part: a shard's index, then the blocks of queries that it answers, one after the other."""
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, part = None, None
         for pdf in it:
             for r in pdf.itertuples():
-                ids = np.frombuffer(r.ids, np.int64)
-                v = np.frombuffer(r.vectors, np.float64).reshape(len(ids), r.dim)
-                norm = (v * v).sum(axis=1)
-                x = np.concatenate([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], axis=1).astype(np.float32)
-                levels, at = [], 0
-                flat = np.frombuffer(r.neighbours, np.int32)
-                for lv, size in enumerate(r.sizes):
-                    w = WIDTH0 if lv == 0 else WIDTH
-                    levels.append(flat[at : at + size * w].reshape(size, w))
-                    at += size * w
-                qid = np.frombuffer(r.query_ids, np.int64)
-                qv = np.frombuffer(r.query_vectors, np.float64).reshape(len(qid), r.dim)
-                q = np.concatenate([qv, np.zeros((len(qv), 1))], axis=1).astype(np.float32)
-                found = descend(q, x, levels, max(BEAM, 2 * k))
-                row, col = np.nonzero(found >= 0)
-                node = found[row, col]
-                s = np.einsum("nd,nd->n", v[node], qv[row])
-                order = np.lexsort((ids[node], -s, row))
-                row, node, s = row[order], node[order], s[order]
-                top = np.arange(len(row)) - np.searchsorted(row, row) < k + 1
-                yield pd.DataFrame({"query_id": qid[row[top]], "rep": ids[node[top]], "score": s[top]})
-
-    return run
+                if r.ids is not None:
+                    index, part = Index(r), r.part
+                elif r.part != part:
+                    raise RuntimeError("a block of queries came before its index")
+                else:
+                    qid = np.frombuffer(r.query_ids, np.int64)
+                    yield index.search(qid, np.frombuffer(r.query_vectors, np.float64).reshape(len(qid), r.dim), k)
+
+    return lean(run)
 
 
 def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,12 +260,23 @@ def nearest(
         .applyInPandas(pack, "dim int, block int, query_ids binary, query_vectors binary"),
         "queries",
     )
-    # Each pair of a shard and a block of queries is one row and its own key.
-    pairs = index.select("shard", "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # An index goes once to each of a few parts, and the far smaller blocks of queries stream past it there.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(blocks, math.ceil(tasks / shards)))
+    part = lambda p: F.concat_ws(":", "shard", p.cast("string"))
+    none = F.lit(None)
+    held = index.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
+        part(F.col("p")).alias("part"), F.lit(-1).alias("block"), "dim", "sizes", "ids", "vectors", "neighbours",
+        none.cast("binary").alias("query_ids"), none.cast("binary").alias("query_vectors"),
+    )
+    asked_of = packed.join(F.broadcast(index.select("shard", "dim")), "dim").select(  # a row a shard: its name and size
+        part(F.pmod("block", F.lit(parts))).alias("part"), "block", "dim", none.cast("array<int>").alias("sizes"),
+        *[none.cast("binary").alias(c) for c in ("ids", "vectors", "neighbours")], "query_ids", "query_vectors",
+    )
     hits = (
-        pairs.join(packed, ["dim", "block"])
-        .join(index.drop("dim"), "shard")
-        .repartition(len_tasks(spark, shards * blocks), "shard", "block")
+        held.unionByName(asked_of)
+        .repartition(len_tasks(spark, shards * parts), "part")
+        .sortWithinPartitions("part", "block")
         .mapInPandas(searcher(k), "query_id long, rep long, score double")
     )
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What cut() writes inside goes at the end; without a scope it belongs to the owner of spark.checkpoint.dir.
+    """What cut() writes inside goes at the end, and shuffle files that nothing refers to any more with it.
 
-    Results made inside must be written inside: they are plans over what goes.
+    Results made inside must be written inside, or cut() with keep: they are plans over what goes. Without a scope
+    tables belong to the owner of spark.checkpoint.dir.
     """
     _scopes.append([])
     try:
@@ -54,14 +56,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _scopes.pop():
             at = hadoop.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def cut(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    keep: the table outlives the innermost scope; the one around it, if any, removes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    owners = _scopes[:-1] if keep else _scopes
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,7 +87,6 @@ def lean(run):
             yield from run(it)
         finally:
             import ctypes
-            import gc
 
             import pyarrow as pa
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, scratch
 
 LEAD, SIMILAR, MIN_DOCS, SLOTS = 3, 0.6, 4, 1 << 18
 SKETCH, BANDS, ALIKE = 64, 8, 0.5
@@ -176,7 +176,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
     """docs with the lines of recurring templates dropped from text; with count, also n_lines and n_dropped."""
-    found = recurring(keyed(docs, id_col, text_col), min_docs)
+    with scratch(docs.sparkSession):
+        found = cut(recurring(keyed(docs, id_col, text_col), min_docs), "dropped", keep=True)
     packed = docs.select(
         F.struct("*").alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k"),

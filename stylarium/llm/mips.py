@@ -141,9 +141,9 @@ def top_products(
     seeds = rows.orderBy(F.desc("length"), "vec_id").limit(SEEDS)  # of fixed size
     bucket = F.when(F.col("length") > 0, F.floor(F.log("length") / math.log(1.01))).otherwise(-(10**6)).cast("int")
     rows_b = rows.withColumn("bucket", bucket)
-    sizes = rows_b.groupBy("dim", "bucket").count()
+    sizes = rows_b.groupBy("dim", "bucket").agg(F.count("*").alias("count"), F.max("length").alias("top"))
     parts = F.greatest(F.ceil(F.col("count") / BLOCK), F.lit(1))
-    blocked = rows_b.join(sizes, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    blocked = rows_b.join(sizes.drop("top"), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
     queries = apart(rows.where(F.pmod("vec_id", F.lit(query_every)) == 0))
     n = max(1, math.ceil(queries.count() / QUERIES))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n)).cast("int"))
@@ -157,12 +157,15 @@ def top_products(
         .agg(F.min("bound").alias("bound"))
     )
     queries = queries.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id")
-    places = sizes.select("dim", "bucket", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"))
-    asked = apart(queries.join(apart(places), "dim"))
+    # A query asks only buckets whose longest vector can reach its bound, and a bucket goes only to blocks that ask it.
+    reached = F.col("length") * F.col("top") >= F.col("bound") * F.when(F.col("bound") > 0, 1 - 1e-9).otherwise(1 + 1e-9)
+    wanted = queries.join(apart(sizes), "dim").where(reached).drop("top")
+    asked = apart(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))).drop("count"))
+    needed = apart(wanted.select("dim", "bucket", "block").distinct())
     keys = ["dim", "block", "bucket", "part"]
     found = (
         asked.groupBy(*keys)
-        .cogroup(apart(blocked.withColumn("block", all_blocks)).groupBy(*keys))
+        .cogroup(apart(blocked.join(needed, ["dim", "bucket"])).groupBy(*keys))
         .applyInPandas(finder(k), "query_id long, vec_id long, score long")
         .dropDuplicates()
     )

@@ -1,22 +1,26 @@
 """Mixing sources to target weights (operator 8), DataFrame functions only: soft membership and projected gradient.
 
-Domains are the values of a labelled table. A naive Bayes model over a few
-bucketed text features, counted on all labelled rows, gives each document a
-posterior over domains. Document rates r >= 0 then minimise
-
-    1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / (S T_k) + ridge/2 sum_d n_d/S (r_d - 1)^2
-
-for n_d tokens, posteriors p_dk, targets T_k and S tokens in all, by accelerated
-projected gradient steps in the token-weighted metric, where the greatest
-curvature is that of the domain whose share exceeds its target most. Documents of equal
-features have equal rates, so the iterations run on the table by features,
-which has at most BUCKETS ** 5 rows.
+Domains are the values of a labelled table. A naive Bayes model gives each
+document a posterior over domains, from five bucketed text features and from
+the hashed words that tell the domains apart, all counted on all labelled rows.
+Posteriors are multiples of 1/GRID that add up to 1. Document rates r >= 0 then
+minimise
+
+    1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / T_k + ridge/2 sum_d n_d (r_d - 1)^2
+
+for n_d tokens, posteriors p_dk and targets T_k. At the minimum a rate is 1 less
+the document's share in a price for each domain, projected on r >= 0. Gradient
+steps go over the prices, scaled by the Gram matrix of the posteriors of
+documents with a positive rate; each takes one pass of sums over the table of
+different posteriors, whose size does not grow with the documents. They end when
+the gradient is under TOLERANCE, relative to the targets; if it never is, that is
+an error.
 
 Edge cases: null text has no tokens, but features and a rate like any other.
 Null labels teach nothing; without labels there is one domain and all rates are
-1. Repeated rows count each. A target for a domain that no label names is an
-error; missing targets are 0. An empty table gives an empty result. Other
-columns are ignored.
+1. Repeated rows count each. A target for a domain that no label names
+is an error; missing targets are 0, and weigh as LEAST of an even share. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +30,22 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
-BUCKETS, STEPS, RIDGE, SMOOTH, TEMPER = 6, 30, 0.002, 1.0, 0.8
+BUCKETS, SMOOTH, TEMPER, RIDGE = 6, 1.0, 0.8, 0.0001
+STEPS, TOLERANCE, LEAST = 100, 1e-6, 1e-4
+SLOTS, CLEAR, LEAST_ROWS, GRID = 1 << 16, 3.0, 3, 32  # of word hashes; standard errors; labelled rows; steps of a posterior
 FEATURES = ("f_length", "f_word", "f_upper", "f_odd", "f_lines")
 
 
 def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens and the bucketed features."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S++"))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), words.cast("long").alias("n_tokens"), *_buckets(F.col(text_col)))
+    """doc_id, row (its number, to be written before it is used), n_tokens, the bucketed features and slots, the hashes of the different words."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.regexp_count(t, F.lit(r"\S++"))
+    slots = F.array_distinct(F.transform(F.split(F.lower(F.replace(t, F.lit("\n"), F.lit(" "))), " "), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.cast("long").alias("n_tokens"), *_buckets(F.col(text_col)), slots.alias("slots")
+    )
 
 
 def _buckets(text: Column) -> list[Column]:
@@ -61,8 +71,35 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def posteriors(rows: DataFrame, labels: DataFrame) -> tuple[list[str], Column]:
-    """Domains, and the posterior as an expression over the features; counts on all labelled rows."""
+def word_weights(rows: DataFrame, own: DataFrame, size: dict[str, int]) -> DataFrame | None:
+    """slot, w: log-likelihood of a word's presence by domain, of the slots that set some domain apart clearly.
+
+    At most SLOTS rows whatever the input.
+    """
+    domains = sorted(size)
+    total = sum(size.values())
+    counts = rows.select("doc_id", F.explode("slots").alias("slot")).join(own, "doc_id").groupBy("slot").pivot("domain", domains).count().na.fill(0)
+    n = {d: F.col(f"`{d}`") for d in domains}
+    every = sum(n.values(), F.lit(0))
+    base = every / total
+
+    def clear(d: str) -> Column:
+        expected = base * size[d]
+        return F.abs(n[d] - expected) >= CLEAR * F.sqrt(expected * (1 - base) + 0.25)
+
+    told = F.lit(False)
+    for d in domains:
+        told = told | clear(d)
+    # Absence is counted too: w is what presence adds to it.
+    logs = []
+    for d in domains:
+        p = (n[d] + SMOOTH * base) / (size[d] + SMOOTH)
+        logs.append(F.log(p / (1 - p)) - F.log(base / (1 - base)))
+    return counts.where((every >= LEAST_ROWS) & (every < total) & told).select("slot", F.array(*logs).alias("w"))
+
+
+def posteriors(rows: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame]:
+    """Domains, and rows (doc_id, n_tokens) with p, the posterior in multiples of 1 / GRID."""
     own = labels.where("domain is not null and doc_id is not null").select("doc_id", "domain").distinct()
     counts = (
         rows.join(own, "doc_id")
@@ -74,8 +111,8 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> tuple[list[str], Column]:
     )
     domains = sorted({r["domain"] for r in counts})
     if not domains:
-        return ["all"], F.array(F.lit(1.0))
-    size = {d: sum(r["count"] for r in counts if r["domain"] == d) / len(FEATURES) for d in domains}
+        return ["all"], rows.select("doc_id", "n_tokens", F.array(F.lit(1.0)).alias("p"))
+    size = {d: sum(r["count"] for r in counts if r["domain"] == d) // len(FEATURES) for d in domains}
     logs = {(r["domain"], r["f"], r["b"]): r["count"] for r in counts}
     total = sum(size.values())
     sums = []
@@ -85,48 +122,114 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> tuple[list[str], Column]:
             row = [math.log((logs.get((d, f, b), 0) + SMOOTH) / (size[d] + SMOOTH * BUCKETS)) for b in range(BUCKETS)]
             e = e + F.get(vector(row), F.col(f))
         sums.append(e)
-    scores = F.array(*sums)
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(s - top))
-    return domains, F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
-
-
-def rate(p: Column, errors: list[list[float]], ridge: float, curvature: float) -> Column:
-    """The rate after the steps whose domain errors are given (accelerated, projected)."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(1.0).alias("t"))
-    step = 1.0 / (curvature + ridge)
-
-    def go(s: Column, e: Column) -> Column:
-        r = F.greatest(F.lit(0.0), s["y"] - step * (dot(p, e) + ridge * (s["y"] - 1.0)))
-        t = (1.0 + F.sqrt(1.0 + 4.0 * s["t"] * s["t"])) / 2.0
-        return F.struct(r.alias("r"), (r + (s["t"] - 1.0) / t * (r - s["r"])).alias("y"), t.alias("t"))
-
-    return F.aggregate(F.array(*[vector(e) for e in errors]), start, go) if errors else start
+    weights = cut(word_weights(rows, own, size), "weights")
+    # Only words with a weight go on; a document's sum is made where its words are, and only that is shuffled.
+    found = rows.select("row", F.explode("slots").alias("slot")).join(F.broadcast(weights), "slot")  # at most SLOTS rows
+    added = found.groupBy("row").agg(*[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(domains))])
+    scores = F.array(*[s + F.coalesce(F.col(f"w{i}"), F.lit(0.0)) for i, s in enumerate(sums)])
+    scored = rows.drop("slots").join(added, "row", "left").select("doc_id", "n_tokens", scores.alias("s"))
+    top = F.array_max("s")
+    scored = scored.select("doc_id", "n_tokens", F.transform("s", lambda x: F.exp(x - top)).alias("e"))
+    p = F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y))
+    return domains, scored.select("doc_id", "n_tokens", gridded(p).alias("p"))
+
+
+def gridded(p: Column) -> Column:
+    """A distribution in multiples of 1 / GRID: rounded down, the rest to the greatest fractions, ties to the first."""
+
+    def spread(x: Column) -> Column:
+        low = F.transform(x, lambda v: F.floor(v * GRID))
+        rest = (F.lit(GRID) - F.aggregate(low, F.lit(0).cast("long"), lambda a, v: a + v)).cast("int")
+        order = F.array_sort(F.transform(x, lambda v, i: F.struct((F.floor(v * GRID) - v * GRID).alias("f"), i.alias("i"))))
+        more = F.transform(F.slice(order, F.lit(1), rest), lambda o: o["i"])
+        return F.transform(low, lambda v, i: (v + F.array_contains(more, i).cast("int")) / float(GRID))
+
+    return F.transform(F.array(p), spread)[0]
+
+
+def solve(a: list[list[float]], b: list[float]) -> list[float]:
+    """The solution of a small system by elimination with pivots."""
+    n = len(b)
+    rows = [[*r, x] for r, x in zip(a, b, strict=True)]
+    for i in range(n):
+        best = max(range(i, n), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[best] = rows[best], rows[i]
+        for j in range(i + 1, n):
+            f = rows[j][i] / rows[i][i]
+            rows[j] = [x - f * y for x, y in zip(rows[j], rows[i], strict=True)]
+    out = [0.0] * n
+    for i in reversed(range(n)):
+        out[i] = (rows[i][n] - sum(rows[i][j] * out[j] for j in range(i + 1, n))) / rows[i][i]
+    return out
+
+
+def rate(p: Column, prices: list[float]) -> Column:
+    return F.greatest(F.lit(0.0), 1.0 - dot(p, vector(prices)))
+
+
+def fit(table: DataFrame, goal: list[float], ridge: float, tolerance: float, steps: int) -> tuple[list[float], list[float], int]:
+    """Prices, totals and the steps taken, for a table of (p, n)."""
+    k = len(goal)
+    floor = LEAST * (sum(goal) or 1.0) / k
+    scale = [max(g, floor) for g in goal]
+
+    def sums(prices: list[float]) -> tuple[list[float], list[list[float]]]:
+        r = rate(F.col("p"), prices)
+        n = F.col("n").cast("double")
+        live = F.when(r > 0, n).otherwise(0.0)
+        total = [F.sum(r * n * F.col("p")[i]).alias(f"t{i}") for i in range(k)]
+        gram = [F.sum(live * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = table.agg(*total, *gram).first()  # one row
+        g = [[float(got[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]
+        return [float(got[f"t{i}"] or 0) for i in range(k)], g
+
+    def gradient(prices: list[float], total: list[float]) -> list[float]:
+        return [ridge * x - (t - g) / s for x, t, g, s in zip(prices, total, goal, scale, strict=True)]
+
+    size = lambda v: max(abs(x) for x in v)
+    prices = [0.0] * k
+    total, gram = sums(prices)
+    error = gradient(prices, total)
+    for step in range(steps):
+        if size(error) <= tolerance:
+            return prices, total, step
+        scaled = [[(ridge if i == j else 0.0) + gram[i][j] / scale[i] for j in range(k)] for i in range(k)]
+        move = solve(scaled, error)
+        part = 1.0
+        while True:
+            new = [x - part * m for x, m in zip(prices, move, strict=True)]
+            at, its = sums(new)
+            left = gradient(new, at)
+            if size(left) < size(error) or part < 1e-3:
+                break
+            part /= 2
+        prices, total, gram, error = new, at, its, left
+    if size(error) <= tolerance:
+        return prices, total, steps
+    raise RuntimeError(f"mixing: the gradient is {size(error):.2g} after {steps} steps, over {tolerance:.2g}")
 
 
 def mix(
     docs: DataFrame,
     labels: DataFrame,
     targets: dict[str, float] | None = None,
-    steps: int = STEPS,
     ridge: float = RIDGE,
+    tolerance: float = TOLERANCE,
+    steps: int = STEPS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[DataFrame, dict]:
-    """(doc_id, n_tokens, domain, posterior, rate) per row, and a report of totals and targets.
+    """(doc_id, n_tokens, domain, posterior, rate, target, achieved) per row, and a report of totals, targets and steps.
 
-    labels: doc_id, domain. targets: weight by domain; by default each domain's
-    expected share to the power TEMPER, which evens them out somewhat.
+    target and achieved are the token totals of the row's own domain. labels: doc_id, domain. targets: weight by
+    domain; by default each domain's expected share to the power TEMPER, which evens them out somewhat.
     """
-    rows = cut(featured(docs, id_col, text_col), "features")
-    domains, p = posteriors(rows, labels)
-    table = cut(rows.groupBy(*FEATURES).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).withColumn("p", p).coalesce(1), "mix")
-
-    def totals(r: Column) -> list[float]:
-        got = table.agg(*[F.sum(r * F.col("n") * F.get("p", F.lit(k))).alias(f"k{k}") for k in range(len(domains))]).first()
-        return [float(x or 0) for x in got]
-
-    now = totals(F.lit(1.0))
+    with scratch(docs.sparkSession):
+        rows = cut(featured(docs, id_col, text_col), "features")
+        domains, scored = posteriors(rows, labels)
+        scored = cut(scored, "posteriors", keep=True)
+    table = cut(scored.groupBy("p").agg(F.sum("n_tokens").alias("n")).coalesce(1), "mix")  # one row a point of the grid
+    now = [float(x or 0) for x in table.agg(*[F.sum(F.col("n") * F.col("p")[i]) for i in range(len(domains))]).first()]
     size = sum(now) or 1.0
     if targets is None:
         weight = {d: (x / size) ** TEMPER if x > 0 else 0.0 for d, x in zip(domains, now, strict=True)}
@@ -136,19 +239,20 @@ def mix(
         weight = {d: float(targets.get(d, 0)) for d in domains}
     whole = sum(weight.values()) or 1.0
     goal = [size * weight[d] / whole for d in domains]
-    least = 1e-4 * size / len(domains)  # a target of nothing counts as this much in the scale of its error
-    curvature = max([x / max(g, least) for x, g in zip(now, goal, strict=True)] + [1.0])
-    errors: list[list[float]] = []
-    for _ in range(steps):
-        at = totals(rate(F.col("p"), errors, ridge, curvature)["y"]) if errors else now
-        errors.append([(a - g) / max(g, least) for a, g in zip(at, goal, strict=True)])
-    final = rate(F.col("p"), errors, ridge, curvature)["r"]
-    report = {"domains": domains, "targets": goal, "before": now, "after": totals(final)}
-    best = F.get(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.array_max("p")).cast("int") - 1)
-    rates = table.select(*FEATURES, final.alias("rate"), F.col("p").alias("posterior"), best.alias("domain"))
-    report["rates"] = rates
-    out = rows.join(F.broadcast(rates), list(FEATURES))  # at most BUCKETS ** 5 rows, whatever the input
-    return out.select("doc_id", "n_tokens", "domain", "posterior", "rate"), report
+    prices, after, taken = fit(table, goal, ridge, tolerance, steps)
+    report = {"domains": domains, "targets": goal, "before": now, "after": after, "prices": prices, "steps": taken}
+    at = F.array_position("p", F.array_max("p")).cast("int") - 1
+    text_of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
+    out = scored.select(
+        "doc_id",
+        "n_tokens",
+        text_of(domains).alias("domain"),
+        F.col("p").alias("posterior"),
+        rate(F.col("p"), prices).alias("rate"),
+        text_of(goal).alias("target"),
+        text_of(after).alias("achieved"),
+    )
+    return out, report
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -158,10 +262,14 @@ def label_domains(labels: DataFrame) -> DataFrame:
     )
 
 
-def resample(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row floor(rate) times, and once more with the chance of the rest, drawn from a hash of its id."""
-    packed = docs.withColumn("__row", F.struct("*")).select("__row", F.col(f"__row.{id_col}").alias("__id"), F.col(f"__row.{text_col}").alias("__text"))
-    marked = packed.select("__row", *_buckets(F.col("__text")), F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(1 << 20)).alias("__draw"))
-    both = marked.join(F.broadcast(rates), list(FEATURES))
-    copies = F.floor(F.col("rate") + F.col("__draw") / float(1 << 20)).cast("int")
+def resample(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Each row floor(rate) times, and once more with the chance of the rest, drawn from a hash of its id.
+
+    mixed: doc_id, rate of the same docs. Rows of one doc_id have its greatest rate; rows of null doc_id stay as they are.
+    """
+    rates = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("rate").alias("__rate"))
+    packed = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__key"))
+    both = packed.join(rates, F.col("__key") == F.col("__id"), "left")
+    draw = F.pmod(F.xxhash64("__key", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.coalesce("__rate", F.lit(1.0)) + draw).cast("int")
     return both.select("__row", F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).select("__row.*")

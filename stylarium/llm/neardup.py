@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, bound_batches, components, cut, lean, mix64
+from .common import ByteHasher, bound_batches, components, cut, lean, mix64, scratch
 
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 36, 7, 10
 FEW = 256  # shingles up to which each register has a permutation of its own
@@ -78,10 +78,10 @@ def shingles(texts: list[str | None], k: int, hasher: ByteHasher) -> list[np.nda
         if b - a >= k:
             out.append(np.unique(grams[a : b - k + 1]))
         elif b > a:
-            x = np.uint64(b - a)
+            x = np.array([b - a], np.uint64)  # arrays wrap around silently
             for w in words[a:b]:
                 x = (x ^ w) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(77)
-            out.append(mix64(np.array([x])))
+            out.append(mix64(x))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -136,12 +136,14 @@ def signer(k: int, percent: int):
             rows = []
             size = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
             for _, part in pdf.groupby((size // 500_000).astype(int), sort=False):
-                for doc, s in zip(part["doc_id"], shingles(list(part["text"]), k, hasher), strict=True):
+                for doc, own, row, s in zip(part["doc_id"], part["own"], part["row"], shingles(list(part["text"]), k, hasher), strict=True):
                     many, few = registers(s, percent)
                     keys = [band_keys(r, kind) for kind, r in enumerate((many, few)) if r is not None]
                     rows.append(
                         (
                             doc,
+                            own,
+                            row,
                             len(s),
                             hashlib.md5(s.tobytes()).digest() if len(s) else None,
                             np.concatenate(keys) if keys else np.zeros(0, np.int64),
@@ -149,7 +151,7 @@ def signer(k: int, percent: int):
                             None if few is None else few.tobytes(),
                         )
                     )
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_id", "keys", "many", "few"])
+            out = pd.DataFrame(rows, columns=["doc_id", "own", "row", "n_shingles", "set_id", "keys", "many", "few"])
             yield out.astype({"doc_id": "Int64"})
 
     return lean(run)
@@ -186,6 +188,35 @@ def screener(least: float):
     return run
 
 
+def _near(one: pd.DataFrame, two: pd.DataFrame, least: float) -> dict[tuple[int, int], float]:
+    """The pairs of two blocks in different components whose estimate may reach the threshold."""
+    ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
+    pairs: dict[tuple[int, int], float] = {}
+    for kind in ("many", "few"):
+        (ha, xa), (hb, xb) = _tables(one[kind]), _tables(two[kind])
+        for i in np.flatnonzero(ha):
+            j = np.flatnonzero(hb & (cb != ca[i]))
+            if len(j):
+                e = estimate(xa[i][None, :], xb[j])
+                pairs.update({(int(i), int(q)): float(v) for q, v in zip(j[e >= least], e[e >= least], strict=True)})
+    return pairs
+
+
+def sifter(least: float):
+    """Of two blocks of a bucket the members that may have a link to another component: only their texts are fetched."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for r in pdf.itertuples():
+                one, two = pd.DataFrame(list(r.x)), pd.DataFrame(list(r.y))
+                if pairs := _near(one, two, least):
+                    for side, frame in ((0, one), (1, two)):
+                        nodes = frame["node"].to_numpy()[sorted({p[side] for p in pairs})]
+                        yield pd.DataFrame({"key": r.key, "block": r.block, "other": r.other, "side": side, "node": nodes})
+
+    return lean(run)
+
+
 def crosser(least: float, k: int, percent: int):
     """Links of two blocks of a bucket between different components: estimates screen the pairs, full sets confirm them.
 
@@ -196,22 +227,11 @@ def crosser(least: float, k: int, percent: int):
         hasher = ByteHasher()
         for pdf in it:
             for r in pdf.itertuples():
-                one, two = pd.DataFrame(list(r.x)), pd.DataFrame(list(r.y))
+                every = pd.DataFrame(list(r.x))
+                one, two = (every[every["side"] == s].reset_index(drop=True) for s in (0, 1))
+                pairs = _near(one, two, least)
+                sets = [shingles(list(frame["text"]), k, hasher) for frame in (one, two)]
                 ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
-                pairs: dict[tuple[int, int], float] = {}
-                for kind in ("many", "few"):
-                    (ha, xa), (hb, xb) = _tables(one[kind]), _tables(two[kind])
-                    for i in np.flatnonzero(ha):
-                        j = np.flatnonzero(hb & (cb != ca[i]))
-                        if len(j):
-                            e = estimate(xa[i][None, :], xb[j])
-                            pairs.update({(int(i), int(q)): float(v) for q, v in zip(j[e >= least], e[e >= least], strict=True)})
-                if not pairs:
-                    continue
-                sides = []
-                for side, frame in ((0, one), (1, two)):
-                    need = sorted({p[side] for p in pairs})
-                    sides.append(dict(zip(need, shingles(list(frame["text"].iloc[need]), k, hasher), strict=True)))
                 root: dict[int, int] = {}
 
                 def find(c: int, root: dict[int, int] = root) -> int:
@@ -223,7 +243,7 @@ def crosser(least: float, k: int, percent: int):
                 for i, j in sorted(pairs, key=lambda p: (-pairs[p], p)):
                     x, y = find(int(ca[i])), find(int(cb[j]))
                     if x != y:
-                        s, t = sides[0][i], sides[1][j]
+                        s, t = sets[0][i], sets[1][j]
                         both = len(np.intersect1d(s, t, assume_unique=True))
                         if 100 * both >= percent * (len(s) + len(t) - both):
                             root[max(x, y)] = min(x, y)
@@ -256,42 +276,40 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, star_rounds: int = 4
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        found = _near_duplicates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent, star_rounds)
+        return cut(found, "components", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) -> DataFrame:
     bound_batches(docs.sparkSession)
+    docs = docs.withColumn("own", F.xxhash64("text"))
     j = percent / 100
     least = j - 4.2 * (j * (1 - j) / REGISTERS) ** 0.5
     signed = cut(
-        docs.mapInPandas(
+        docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
             signer(k, percent),
-            "doc_id long, n_shingles long, set_id binary, keys array<long>, many binary, few binary",
+            "doc_id long, own long, row long, n_shingles long, set_id binary, keys array<long>, many binary, few binary",
         ),
         "signed",
     )
-    classes = cut(
-        signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    # A class is written by its least doc_id, which may stand for several rows of different texts.
-    reps = signed.join(classes, (signed.doc_id == classes.rep) & (signed.set_id == classes.set_id), "left_semi")
-    reps = reps.dropDuplicates(["set_id"]).select(F.xxhash64("set_id").alias("node"), "doc_id", "set_id", "keys", "many", "few")
-    reps = cut(reps, "reps")
+    # A class is written by one row of its least doc_id.
+    classes = signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "row", "own")).alias("rep"))
+    classes = cut(classes.select("set_id", "rep.*"), "classes")
+    reps = signed.join(classes.select("set_id", "row"), ["set_id", "row"], "left_semi")
+    reps = cut(reps.select(F.xxhash64("set_id").alias("node"), "doc_id", "own", "set_id", "keys", "many", "few"), "reps")
     pairs_of = reps.select("node", F.explode("keys").alias("key"))
     sizes = (
         pairs_of.groupBy("key")
-        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(0xFFFFFFFFFFFF)).alias("sum"))
+        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
         .where("n > 1")
-        .groupBy("n", "sum")
-        .agg(F.min("key").alias("key"))  # buckets of the same members count once
+        .groupBy("n", "sum", "xor")
+        .agg(F.min("key").alias("key"))  # buckets of the same members, by two 64-bit hashes, count once
     )
-    buckets = cut(pairs_of.join(sizes, "key").select("key", "n", "node"), "buckets")
-    members = buckets.select("node").distinct()
-    busy = reps.join(members, "node", "left_semi")
-    texts = cut(
-        docs.join(busy.select("node", "doc_id", "set_id"), "doc_id").select("node", "set_id", "text"),
-        "texts",
-    )
-    # Rows that share a doc_id may differ in text: keep the text whose set is the class's.
-    texts = texts.mapInPandas(_owner(k), "node long, text string").dropDuplicates(["node"])
-    texts = cut(texts, "texts")
+    buckets = cut(pairs_of.join(sizes.select("key", "n"), "key").select("key", "n", "node"), "buckets")
+    busy = reps.join(buckets.select("node").distinct(), "node", "left_semi")
+    # Rows of one doc_id may differ in text: the text's hash names the row, and equal rows count once.
+    texts = cut(docs.join(busy.select("node", "doc_id", "own"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
     regs = cut(busy.select("node", "many", "few"), "regs")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
@@ -320,26 +338,27 @@ def near_duplicates(
         if new.isEmpty():
             break
         links = links.union(new)
-        labels = cut(components(links), "labels")
+        with scratch(docs.sparkSession):
+            labels = cut(components(links), "labels", keep=True)
     named = buckets.join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
     open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     blocks = cut(
         named.join(open_, "key")
         .join(regs, "node")
-        .join(texts, "node")
         .groupBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block"))
-        .agg(F.collect_list(F.struct("node", "comp", "many", "few", "text")).alias("x")),
+        .agg(F.collect_list(F.struct("node", "comp", "many", "few")).alias("x")),  # about BLOCK
         "blocks",
     )
-    cross = (
+    sifted = cut(
         blocks.repartition("key", "block")
         .join(blocks.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key")
         .where("block <= other")
-        .select("x", "y")
-        .mapInPandas(crosser(least, k, percent), "a long, b long")
-        .distinct()
+        .mapInPandas(sifter(least), "key long, block long, other long, side int, node long"),
+        "sifted",
     )
-    new = cut(cross, "links")
+    own = sifted.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(regs, "node").join(texts, "node")
+    groups = own.groupBy("key", "block", "other").agg(F.collect_list(F.struct("side", "node", "comp", "many", "few", "text")).alias("x"))  # about 2 BLOCK
+    new = cut(groups.select("x").mapInPandas(crosser(least, k, percent), "a long, b long").distinct(), "links")
     labels = cut(components(links.union(new)), "labels")
     ids = labels.join(reps.select("node", "doc_id"), "node")
     roots = ids.groupBy("comp").agg(F.min("doc_id").alias("component"))
@@ -348,7 +367,7 @@ def near_duplicates(
     )
     return (
         signed.select("doc_id", "n_shingles", "set_id")
-        .join(classes, "set_id", "left")
+        .join(classes.select("set_id", F.col("doc_id").alias("rep")), "set_id", "left")
         .join(of_set, "set_id", "left")
         .select(
             "doc_id",
@@ -359,20 +378,6 @@ def near_duplicates(
     )
 
 
-def _owner(k: int):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = ByteHasher()
-        for pdf in it:
-            keep = []
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
-                for s, own in zip(shingles(list(part["text"]), k, hasher), part["set_id"], strict=True):
-                    keep.append(hashlib.md5(s.tobytes()).digest() == bytes(own))
-            yield pdf.loc[np.array(keep, bool), ["node", "text"]]
-
-    return run
-
-
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those that a smaller doc_id of their group stands for.
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, bound_batches, cut, lean
+from .common import ByteHasher, bound_batches, cut, lean, scratch
 
 GRAM, GROUP, PIECE = 48, 2000, 1 << 19
 LOW = (1 << 24) - 1
@@ -321,15 +321,15 @@ def drop_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", tex
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (array of start, end)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("own", F.xxhash64("text"))
-    spans = (
-        repeated_spans(docs, window)
-        .distinct()
-        .groupBy("doc_id", "own")
-        .agg(F.collect_list(F.struct("start", "end")).alias("s"))  # no more than the document is long
-        .select("doc_id", "own", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
-        .withColumnRenamed("doc_id", "k")
-        .withColumnRenamed("own", "o")
-    )
+    with scratch(docs.sparkSession):
+        spans = (
+            repeated_spans(docs, window)
+            .distinct()
+            .groupBy("doc_id", "own")
+            .agg(F.collect_list(F.struct("start", "end")).alias("s"))  # no more than the document is long
+            .select(F.col("doc_id").alias("k"), F.col("own").alias("o"), F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+        )
+        spans = cut(spans, "spans", keep=True)
     return docs.join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col("k")) & (F.col("own") == F.col("o")), "left").select(
         "doc_id", "text", "starts", "ends"
     ).mapInPandas(

@@ -367,18 +367,23 @@ def test_mixing(spark, small, odd, nothing):
     assert (r >= 0).all() and np.allclose(p.sum(axis=1), 1)
     assert np.allclose(report["after"], (r * n) @ p)
 
-    def loss(x):
-        return (((x * n) @ p - goal) ** 2 / (size * goal)).sum() / 2 + mixing.RIDGE / 2 * (n / size * (x - 1) ** 2).sum()
-
-    best = np.ones(len(r))
-    for _ in range(4000):  # plain projected gradient, until it stands
-        e = ((best * n) @ p - goal) / goal
-        best = np.maximum(0, best - 0.3 * (p @ e + mixing.RIDGE * (best - 1)))
-    assert loss(r) - loss(best) < 0.03 * (loss(np.ones(len(r))) - loss(best)) + 1e-9
+    # The loss is strictly convex: rates that stand under a projected gradient step are the only minimum.
+    def stands(r, goal):
+        e = ((r * n) @ p - goal) / goal
+        return np.abs(r - np.maximum(0, r - (p @ e + mixing.RIDGE * (r - 1)) / mixing.RIDGE)).max()
+
+    assert stands(r, goal) < 0.01 * max(1, r.max())
+    even = {d: 1.0 for d in report["domains"]}
+    out, report = mixing.mix(docs, labels, even)
+    r = np.array([x["rate"] for x in out.collect()])
+    assert stands(r, np.array(report["targets"])) < 0.01 * max(1, r.max()) and report["steps"] < mixing.STEPS
+    assert np.allclose(report["after"], report["targets"], rtol=0.05) and not np.allclose(report["before"], report["targets"], rtol=0.05)
     assert len(mixing.mix(odd, labels)[0].collect()) == len(ODD)
     assert mixing.mix(nothing, labels)[0].collect() == []
-    copies = mixing.resample(odd, mixing.mix(odd, labels.limit(0))[1]["rates"])
+    copies = mixing.resample(odd, mixing.mix(odd, labels.limit(0))[0])
     assert copies.columns == odd.columns and copies.count() == len(ODD)
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs, labels, even, steps=0)
     with pytest.raises(ValueError):
         mixing.mix(docs, labels, {"no such domain": 1})
 
