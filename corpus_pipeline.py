@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its fitted rate says, in expectation; without labels every rate is 1."""
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.resample(docs, mixing.mix(docs, labels)[1]["rates"])
+    return mixing.resample(docs, mixing.mix(docs, labels)[0])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
