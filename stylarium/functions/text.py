@@ -68,7 +68,7 @@ def clean_text(t: Column, old: str = OLD_CHARACTERS, new: str = NEW_CHARACTERS)
 
 
 def only(t: Column, chars: str) -> Column:
-    return F.regexp_replace(t, f"[^{chars}]", "")
+    return F.regexp_replace(t, f"[^{chars}]+", "")
 
 
 def count_of(t: Column, chars: str) -> Column:

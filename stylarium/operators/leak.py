@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK, Profile, grams, letters_length, only, short_hash, windows
@@ -13,20 +13,25 @@ def source_windows(sources: DataFrame, text: str, kind: str, n: int = 12, profil
 
 
 def leak_hits(scanned: DataFrame, sources: DataFrame, location: str, text: str, n: int = 12, profile: Profile = CJK) -> DataFrame:
-    """location, line, kind, count, hashes: windows of each whole text that are in sources, by the line they start in."""
-    t = F.col(text)
-    letters = only(t, profile.letters)
-    per_line = F.transform(F.split(t, "\n"), lambda s: letters_length(s, profile))
-    ends = F.aggregate(
-        per_line,
-        F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)),
-    )
-    rows = scanned.select(location, ends.alias("ends"), F.posexplode(grams(letters, n)).alias("at", "w"))
-    hits = rows.join(sources, "w")
-    line = F.size(F.filter("ends", lambda e: e <= F.col("at"))) + 1
-    return (
-        hits.select(location, line.alias("line"), "kind", "w")
-        .groupBy(location, "line", "kind")
-        .agg(F.count("*").alias("count"), F.sort_array(F.collect_set(short_hash(F.col("w")))).alias("hashes"))
+    """location, line, kind, count, hashes: windows of each whole text that are in sources, by the line they start in.
+
+    locations are unique. Only matching windows go on, and only the lines of texts that have some are counted; a
+    window finds its line by one ordered pass over a text's line starts and windows.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = scanned.select(F.col(location).alias("_loc"), F.posexplode(grams(only(t, profile.letters), n)).alias("at", "w"))
+    hits = rows.join(sources, "w").select("_loc", "at", "kind", short_hash(F.col("w")).alias("h"))
+    lines = (
+        scanned.select(F.col(location).alias("_loc"), t.alias("_t"))
+        .join(hits.select("_loc").distinct(), "_loc", "left_semi")
+        .select("_loc", F.posexplode(F.transform(F.split("_t", "\n"), lambda s: letters_length(s, profile))).alias("line", "size"))
     )
+    before = Window.partitionBy("_loc").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0))).where("size > 0")
+    null = F.lit(None)
+    marks = starts.select("_loc", "at", F.col("line") + 1, null.cast("string"), null.cast("string")).toDF("_loc", "at", "line", "kind", "h")
+    both = marks.unionByName(hits.select("_loc", "at", null.cast("int").alias("line"), "kind", "h"))
+    # A line's start comes before the windows at its place.
+    order = Window.partitionBy("_loc").orderBy("at", F.col("kind").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("line", F.last("line", ignorenulls=True).over(order)).where("kind is not null")
+    return placed.groupBy(F.col("_loc").alias(location), "line", "kind").agg(F.count("*").alias("count"), F.sort_array(F.collect_set("h")).alias("hashes"))

@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import placed, running, sized
+
+
+def quantiles(df: DataFrame, value: str, points: list[float], by: list[str]) -> DataFrame:
+    """by, q: an array of linearly interpolated quantiles of each group, from its values' places; nulls are left out.
+
+    Groups of any size: a group is never held in one task.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_g") if by else F.struct(F.lit(0).alias("_")).alias("_g"), F.col(value).cast("double").alias("_v"))
+    spots = sized(running(rows, "_g", "_v", name="_i"), "_g", "_n")
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * F.lit(q)).alias("at")) for i, q in enumerate(points)])
+    near = spots.select("_g", "_v", "_i", F.explode(parts).alias("p")).where((F.col("_i") >= F.floor("p.at")) & (F.col("_i") <= F.ceil("p.at")))
+    # Of the one or two rows at a point, each weighs by its nearness.
+    weight = F.when(F.col("p.at") == F.floor("p.at"), 1.0).otherwise(1 - F.abs(F.col("_i") - F.col("p.at")))
+    each = near.groupBy("_g", "p.i").agg(F.sum(F.col("_v") * weight).alias("x"))
+    out = each.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], "q")
 
-def seven_numbers(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """n, mean, std (population), median, q1, q3 (linear), min, max of each group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*(by or [])).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
-    return out.select(*(by or []), "n", "mean", "std", *[F.col("q")[i].alias(c) for i, c in ((1, "median"), (0, "q1"), (2, "q3"))], "min", "max")
 
+def seven_numbers(df: DataFrame, value: str, by: list[str] | None = None, large: bool = False) -> DataFrame:
+    """n, mean, std (population), median, q1, q3 (linear), min, max of each group.
 
-def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    large: quantiles by places, for groups whose different values are too many for one task's table.
+    """
+    keys, points = by or [], [0.25, 0.5, 0.75]
+    numbers = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+    if large:
+        q = quantiles(df, value, points, keys)
+        out = df.groupBy(*keys).agg(*numbers)
+        if keys:
+            q = q.toDF(*[f"_{k}" for k in keys], "q")
+            out = out.join(q, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+        else:
+            out = out.join(F.broadcast(q), how="left", on=F.lit(True))  # one row
+    else:
+        out = df.groupBy(*keys).agg(*numbers, F.percentile(value, F.array(*[F.lit(p) for p in points])).alias("q"))
+    return out.select(*keys, "n", "mean", "std", *[F.col("q")[i].alias(c) for i, c in ((1, "median"), (0, "q1"), (2, "q3"))], "min", "max")
+
+
+def describe(df: DataFrame, value: str, by: list[str] | None = None, large: bool = False) -> DataFrame:
     """seven_numbers with both standard deviations; the sample one is null for fewer than two values."""
-    keys = by or []
-    extra = df.groupBy(*keys).agg(F.stddev_samp(value).alias("std_sample"))
-    seven = seven_numbers(df, value, by)
-    joined = seven.join(extra, keys) if keys else seven.crossJoin(F.broadcast(extra))
-    return joined.withColumn("std_sample", F.when(F.col("n") > 1, F.col("std_sample")))
+    out = seven_numbers(df, value, by, large)
+    sample = F.col("std") * F.sqrt(F.col("n") / (F.col("n") - 1))
+    return out.withColumn("std_sample", F.when(F.col("n") > 1, sample))
 
 
-def overall_and_by(df: DataFrame, value: str, key: str, expected: int | None = None, low: float = 0.51, high: float = 0.61) -> DataFrame:
+def overall_and_by(df: DataFrame, value: str, key: str, low: float = 0.51, high: float = 0.61) -> DataFrame:
     """Mean and missing counts overall (key null) and by key, from one pass; nulls are missing.
 
     status: incomplete if anything is missing, else whether the mean lies in [low, high].
@@ -82,34 +110,59 @@ def draw(n: Column, *parts: Column) -> Column:
     return F.conv(seven, 16, 10).cast("long") % n
 
 
-def bootstrap_hashed(df: DataFrame, value: str, order: str, by: str, draws: int = 200) -> DataFrame:
-    """Resampling as a plan: every draw picks rows by hashed positions. by, mean, low, high."""
-    w = Window.partitionBy(by).orderBy(order)
-    rows = df.select(by, F.col(value).cast("double").alias("x"), (F.row_number().over(w) - 1).alias("i"))
-    sized = rows.join(rows.groupBy(by).agg(F.count("*").alias("n")), by)
-    picks = sized.select(by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+def bootstrap_hashed(df: DataFrame, value: str, order: str, by: str, draws: int = 10_000) -> DataFrame:
+    """Resampling as a plan: every draw picks rows by hashed positions. by, mean, low, high. For lists of cases."""
+    rows = placed(df.select(F.col(by), F.col(order), F.col(value).cast("double").alias("x")), by, order, place="i").withColumn("i", F.col("i") - 1).drop(order)
+    rows = sized(rows, by)
+    picks = rows.select(by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     picks = picks.select(by, "b", draw(F.col("n"), F.col(by).cast("string"), F.col("b").cast("string"), F.col("i").cast("string")).alias("i"))
-    means = picks.join(rows, [by, "i"]).groupBy(by, "b").agg(F.avg("x").alias("m"))
+    means = picks.join(rows.select(by, "i", "x"), [by, "i"]).groupBy(by, "b").agg(F.avg("x").alias("m"))
     ends = means.groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return ends.join(rows.groupBy(by).agg(F.avg("x").alias("mean")), by).select(by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def bootstrap_counts(df: DataFrame, value: str, key: str, by: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """by, mean, low, high for groups of any size: every row counts a Poisson number of times in each draw.
+
+    A row's numbers come from its key, so a task that runs again draws the same; a task sends one sum a draw.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for g, k, x in zip(pdf["g"], pdf["k"], pdf["x"], strict=True):
+                times = np.random.Generator(np.random.Philox(key=[seed, int(k) & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, draws)
+                total = sums.setdefault(g, (np.zeros(draws), np.zeros(draws)))
+                total[0][:] += times * x
+                total[1][:] += times
+        for g, (total, n) in sums.items():
+            yield pd.DataFrame({"g": [g] * draws, "b": range(draws), "total": total, "n": n})
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).cast("string").alias("g"), F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("x"))
+    parts = rows.mapInPandas(run, "g string, b int, total double, n double")
+    means = parts.groupBy("g", "b").agg((F.sum("total") / F.sum("n")).alias("m"))
+    ends = means.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return ends.join(rows.groupBy("g").agg(F.avg("x").alias("mean")), "g").select(F.col("g").alias(by), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def verdict(low: Column, high: Column, higher_is_better: bool) -> Column:
     """An interval that holds 0, ends included, shows no difference."""
     up, down = ("improved", "worsened") if higher_is_better else ("worsened", "improved")
     return F.when((low <= 0) & (high >= 0), "no difference").when(low > 0, up).otherwise(down)
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ties share the mean of their places."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)
+def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """Adds the rank of value in its group, ties sharing the mean of their places; each different value is placed once."""
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_"))
+    rows = df.withColumn("_g", key)
+    counts = rows.groupBy("_g", F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranks = running(counts, "_g", "_v", weight="_c", name="_b").select(F.col("_g").alias("_h"), "_v", (F.col("_b") + (F.col("_c") + 1) / 2.0).alias(name))
+    return rows.join(ranks, F.col("_g").eqNullSafe(F.col("_h")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_h", "_v")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """0 for fewer than two rows or no variance."""
-    r = df.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
+    r = average_ranks(average_ranks(df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", by, "rx"), "_y", by, "ry")
     return r.groupBy(*by).agg(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))
 
 
@@ -187,10 +240,10 @@ def predict(x: Column, coef: np.ndarray) -> Column:
 
 
 def r_squared(df: DataFrame, truth: str, guess: str, by: list[str]) -> DataFrame:
-    """1 - residual over total sum of squares; null without variance."""
-    mean = F.avg(truth).over(Window.partitionBy(*by))
-    s = df.select(*by, ((F.col(truth) - F.col(guess)) ** 2).alias("e"), ((F.col(truth) - mean) ** 2).alias("d"))
-    return s.groupBy(*by).agg(F.when(F.sum("d") > 0, 1 - F.sum("e") / F.sum("d")).alias("r2"))
+    """1 - residual over total sum of squares, both from partial sums; null without variance."""
+    t, g = F.col(truth), F.col(guess)
+    around = F.var_pop(t) * F.count(t)
+    return df.groupBy(*by).agg(F.when(around > 0, 1 - F.sum((t - g) * (t - g)) / around).alias("r2"))
 
 
 def pick_rate(df: DataFrame, case: str, label: str, truth: str, guess: str, order: list[str]) -> DataFrame:

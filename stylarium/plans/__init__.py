@@ -1,0 +1 @@
+"""Compositions of the operators: evaluation runs, retrieval plans, the rewrite loop, experiments."""

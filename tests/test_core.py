@@ -6,8 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stylarium.functions import numerals, style, surface, text
-from stylarium.operators import agent, gates, leak, lexicon, retrieval, sampling, stats
+from stylarium import service
+from stylarium.functions import fidelity, numerals, style, surface, text
+from stylarium.operators import agent, chunking, gates, leak, lexicon, retrieval, sampling, stats
+from stylarium.plans import evaluation, experiments, loop, retrieval_plan
+from stylarium.sources import records, reports, vectors
+from stylarium.streaming import jobs
 
 
 def one(spark, column):
@@ -58,7 +62,10 @@ def test_surface(spark):
     assert p("甲", "甲乙", 2) is None and p("甲乙", "甲", 2) == 1
     assert p("甲，乙1", "甲乙", 2) == 0
     assert one(spark, surface.text_similarity(F.lit("tide"), F.lit("diet"))) == 0.5
-    assert abs(surface.bleu("甲乙", "甲，乙") - 100) < 1e-9 and surface.bleu("", "甲") == 0
+    pairs = spark.createDataFrame([(1, "甲，乙", "甲乙"), (2, "甲", ""), (3, "甲乙丙丁戊", "甲乙丙丁己")], "id int, s string, o string")
+    got = {r["id"]: r for r in surface.gram_measures(pairs, "id", "s", "o").collect()}
+    assert abs(got[1]["bleu"] - 100) < 1e-9 and got[2]["bleu"] == 0 and got[2]["pinc1"] is None and got[2]["pinc_mean"] is None
+    assert got[3]["pinc4"] == 0.5 and got[3]["overlap4"] == 0.5 and abs(got[3]["bleu"] - 100 * (4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25) < 1e-9
     empty, ab = F.array().cast("array<string>"), F.array(F.lit("a"), F.lit("b"))
     assert one(spark, surface.recall(empty, ab)) == 1 and one(spark, surface.hallucination(ab, empty)) == 0
     assert one(spark, surface.jaccard(empty, empty)) == 1
@@ -70,19 +77,273 @@ def test_surface(spark):
 def test_violations(spark):
     a = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     got = one(spark, surface.violations({"entities": a("n"), "numerals": a("3"), "titles": a("t")}, {"entities": a("m"), "numerals": a(), "titles": a("u")}))
-    assert [(v["kind"], v["expected"], v["actual"]) for v in got] == [("missing_entity", "n", None), ("missing_numeral", "3", None), ("extra_entity", None, "m"), ("title", "t", "u")]
+    assert [(v["kind"], v["expected"], v["actual"]) for v in got] == [("entity_missing", "n", None), ("numeral_missing", "3", None), ("entity_hallucination", None, "m"), ("title", "t", "u")]
+    assert [v["kind"] for v in one(spark, agent.feedback_order(surface.violations({"entities": a("n"), "numerals": a("3"), "titles": a("t")}, {"entities": a("m"), "numerals": a(), "titles": a("u")})))] == list(agent.KIND_ORDER)
 
 
 @pytest.mark.parametrize(
     ("t", "keys"),
     [("十万人", {"100000"}), ("万人", {"10000"}), ("三月初九", {"3", "9"}), ("四斤米", {"4"}), ("二十人", {"20"}), ("一百二十斤", {"120"}), ("三辆马车", {"3"}), ("３辆马车", {"3"}), ("第一次", {"第1"}), ("上万人", {"上:10000"}), ("零零碎碎", set()), ("四太太来了", {"第4"}), ("一个杯子", set()), ("一百五人", {"150"}), ("一百零五人", {"105"})],
 )
-def test_numerals(t, keys):
-    assert {q[2] for q in numerals.quantities(t)} == keys
+def test_numerals(spark, t, keys):
+    assert set(one(spark, numerals.numeral_keys(numerals.quantities(F.lit(t))))) == keys
 
 
-def test_occupancy():
-    assert numerals.occupancy("ab abc", ["ab", "abc", "c"]) == ["ab", "abc"]
+@pytest.mark.parametrize(
+    ("t", "hits"),
+    [
+        ("四太太和四太太", [("ordinal", "第4", "四太太")]),
+        ("上三百人", []),
+        ("上第三次", [("ordinal", "第3", "上第三次")]),
+        ("上一百人", [("cardinal", "上:100", "上一百人")]),
+        ("第３天", [("ordinal", "第3", "第３天")]),
+        ("零零人，十百斤", [("unparsed", "零零人", "零零人"), ("unparsed", "十百斤", "十百斤")]),
+        ("四两", [("cardinal", "4", "四两")]),
+        ("初三", [("cardinal", "3", "初三")]),
+        ("", []),
+    ],
+)
+def test_quantity_hits(spark, t, hits):
+    assert [(h["bucket"], h["key"], h["surface"]) for h in one(spark, numerals.quantities(F.lit(t)))] == hits
+
+
+@pytest.mark.parametrize(
+    ("n", "value"),
+    [("十", "10"), ("二十三", "23"), ("一百零五", "105"), ("一百五", "150"), ("万", "10000"), ("一万五", "15000"), ("三万二千", "32000"), ("一亿二千万", "120000000"), ("两千零一", "2001"), ("007", "7"), ("0", "0"), ("一九八四", "1984"), ("零零", None), ("十百", None), ("百万", "1000000")],
+)
+def test_number_text(spark, n, value):
+    assert one(spark, numerals.number_text(F.lit(n))) == value
+
+
+def test_numeric_values(spark):
+    v = one(spark, numerals.numeric_values(F.lit("三点五斤，一个，第二，那一，２０年，颂莲一斤"), F.array(F.lit("颂莲"))))
+    assert v["values"] == ["1", "2", "20", "3.5"] and v["waivers"] == ["一个"] and "二" in v["chinese_forms"] and not v["unparsed"]
+
+
+def test_mentions(spark):
+    names = lambda *n: numerals.names_array(n)
+    assert one(spark, numerals.mentions(F.lit("ab abc"), names("ab", "abc", "c"))) == ["ab", "abc"]
+    assert one(spark, numerals.mentions(F.lit("ABCD"), names("AB", "BCD"))) == ["BCD"]
+    assert one(spark, numerals.mask(F.lit("xabcx"), names("ab", "abc"))) == "x   x"
+
+
+def test_facts(spark):
+    dims = fidelity.Dimensions(names=("颂莲", "陈佐千"), words=("佐千", "雁儿", "丞相"), titles=("丞相",))
+    f = one(spark, fidelity.facts(F.lit("颂莲对陈佐千说，雁儿见过丞相三次"), dims))
+    assert (f["entities"], f["titles"], f["numerals"]) == (["陈佐千", "雁儿", "颂莲"], ["丞相"], ["3"])
+    df = spark.createDataFrame([(1, "颂莲见丞相三次", "颂莲见太监四次")], "id int, s string, o string")
+    r = fidelity.assess(df, "s", "o", fidelity.Dimensions(names=("颂莲",)), ("id",)).first()
+    assert (r["entity_recall"], r["numeral_recall"], r["hallucination_rate"]) == (1.0, 0.0, 0.0)
+    assert [(v["kind"], v["expected"], v["actual"]) for v in r["violations"]] == [("numeral_missing", "三次", None), ("title", "丞相", "太监")]
+    tagger = fidelity.dictionary_tagger({"雁儿": "nr", "说": "v"})
+    assert one(spark, tagger(F.lit("雁儿说"))) == ["雁儿"]
+    words = spark.createDataFrame([("登基", 1, True), ("雁儿", 1, True), ("白痴", 242, True), ("碎", 1, True), ("断片", 1, False), ("颂莲说", 1, True)], "word string, frequency int, stable boolean")
+    assert [r["word"] for r in fidelity.supplement(words, ("颂莲",)).collect()] == ["雁儿"]
+    assert abs(one(spark, fidelity.dialogue_density(F.lit("甲乙。“丙丁”。"))) - 0.5) < 1e-9
+
+
+def test_contained(spark):
+    df = spark.createDataFrame([(1, "abcabc"), (2, None), (3, "")], "id int, t string")
+    terms = spark.createDataFrame([("bca",), ("c",), ("zz",), ("",)], "term string")
+    assert sorted((r["id"], r["term"]) for r in fidelity.contained(df, "id", "t", terms, "term").collect()) == [(1, "bca"), (1, "c")]
+
+
+def test_measures(spark):
+    df = spark.createDataFrame([(1, "颂莲吃了三斤米", "颂莲吃了四斤米仿佛")], "id int, s string, o string")
+    m = fidelity.measures(df, "id", "s", "o", F.array(F.lit("颂莲")), F.array(F.lit("仿佛"), F.lit("颂"))).first()
+    assert m["entity_recall"] == 1 and m["numeral_recall"] == 0 and m["added_values"] == ["4"] and m["banned_residue"] == ["仿佛"]
+    both = spark.createDataFrame([m], fidelity.measures(df, "id", "s", "o", F.array(F.lit("颂莲")), F.array(F.lit("仿佛"))).schema)
+    got = experiments.two_pass(both, both).first()["reasons"].split(",")
+    assert "numeral_missing" in got and "numeral_added" in got and "literary_residue" in got
+
+
+RULES = chunking.Rules(target=6, least=4, most=8)
+
+
+def letters(t):
+    return chunking.size_of(t, RULES)
+
+
+def test_chunk_sizes():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        t = "".join(rng.choice(list("甲乙丙丁戊，。！\n"), int(rng.integers(0, 120)), p=[0.15] * 5 + [0.1, 0.1, 0.03, 0.02]))
+        got = chunking.chunk_text(t, RULES)
+        # Nothing but white space goes, and no chunk exceeds the greatest size.
+        assert "".join("".join(got).split()) == "".join(t.split())
+        assert all(letters(c) <= RULES.most for c in got)
+
+
+def test_chunk_rules():
+    assert chunking.long_pieces("甲乙丙丁，戊己庚辛，壬癸。", RULES) == ["甲乙丙丁，戊己庚辛，", "壬癸。"]
+    assert chunking.long_pieces("甲乙丙丁戊己庚辛壬癸", RULES) == ["甲乙丙丁戊己庚辛", "壬癸"]
+    assert chunking.sections("甲\n\n乙\n※※※\n丙\n某人\n丁", chunking.Rules(authors=("某人",))) == [["甲", "乙"], ["丙", "丁"]]
+    assert chunking.sections("第十章\n甲\n第2回\n乙") == [["甲"], ["乙"]]
+    assert chunking.pack_section(["甲乙丙丁。戊己庚辛。", "壬癸。"], RULES) == ["甲乙丙丁。", "戊己庚辛。\n壬癸。"]
+    assert chunking.rebalance(["甲乙丙丁戊。己。", "庚。"], RULES) == ["甲乙丙丁戊。己。", "庚。"]
+    assert chunking.rebalance(["甲乙。丙丁。戊己。", "庚辛。"], RULES) == ["甲乙。丙丁。", "戊己。\n庚辛。"]
+    assert chunking.simple_chunks("甲" * 240 + "。" + "乙" * 20 + "。" + "丙" * 50 + "。") == ["甲" * 240 + "。" + "乙" * 20 + "。" + "丙" * 50 + "。"]
+
+
+def test_chunks(spark):
+    works = spark.createDataFrame([("w", "甲乙丙丁。戊己庚辛。"), ("none", None), ("empty", "")], "work string, text string")
+    got = chunking.chunks(works, rules=RULES).collect()
+    assert [(r["id"], r["idx"], r["original"]) for r in got] == [("w_0001", 1, "甲乙丙丁。"), ("w_0002", 2, "戊己庚辛。")]
+    texts = spark.createDataFrame([("x\nB A\nmore\n A \nrest",)], "text string")
+    assert sorted(map(tuple, chunking.split_anthology(texts, ("A", "B A")).collect())) == [("A", "rest"), ("B A", "more")]
+    with pytest.raises(ValueError, match="lack"):
+        chunking.split_anthology(texts, ("A", "C"))
+    with pytest.raises(ValueError, match="repeat"):
+        chunking.split_anthology(spark.createDataFrame([("A\nx\nA\ny",)], "text string"), ("A",))
+
+
+def test_records(spark, tmp_path):
+    p = tmp_path / "rows.jsonl"
+    p.write_text('{"id":"a","work":"w","extra":1,"split":"train"}\n\n{"id":"b","split":"eval"}\n', encoding="utf-8")
+    assert [r["id"] for r in records.read_jsonl(spark, str(p), records.PAIR, split="eval").collect()] == ["b"]
+    with pytest.raises(ValueError, match="no rows"):
+        records.read_jsonl(spark, str(p), records.PAIR, split="other")
+    p.write_text('{"id":"a"}\n\n{"id":\n{"work":"w"}\n', encoding="utf-8")
+    with pytest.raises(ValueError, match=r":3: no record.*:4: lacks id"):
+        records.read_jsonl(spark, str(p), records.PAIR)
+    words = tmp_path / "stop.txt"
+    words.write_text("# c\n的\n\n了\n", encoding="utf-8")
+    assert records.read_words(str(words)) == ["的", "了"]
+    words.write_text("# c\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        records.read_words(str(words))
+    (tmp_path / "works").mkdir()
+    (tmp_path / "works" / "甲.txt").write_text("甲\r\n正文裏\n", encoding="utf-8")
+    assert [tuple(r) for r in records.read_works(spark, str(tmp_path / "works")).collect()] == [("甲", "正文里")]
+    split = tmp_path / "split.json"
+    split.write_text('{"seed": 1, "train": ["a", "b"], "eval": ["c"]}', encoding="utf-8")
+    assert sorted(map(tuple, records.read_split(spark, str(split)).collect())) == [("a", "train"), ("b", "train"), ("c", "eval")]
+    assert records.read_dimension(str(split), "eval") == ["c"]
+    salvaged = tmp_path / "salvaged.jsonl"
+    salvaged.write_text('{"id":"a","original":"甲乙"}\n{"id":"b","maybe_truncated":true}\n{"id":"c"}\n', encoding="utf-8")
+    assert [(r["id"], r["n_letters"]) for r in records.read_salvaged(spark, str(salvaged), ["c"]).collect()] == [("a", 2)]
+
+
+def test_reports(tmp_path):
+    path = tmp_path / "r" / "x.json"
+    reports.write_json({"b": float("nan"), "a": {"z": 1, "甲": 0.5}}, str(path))
+    assert path.read_text(encoding="utf-8") == '{\n  "a": {\n    "z": 1,\n    "甲": 0.5\n  },\n  "b": null\n}\n'
+    assert reports.markdown([{"a": 0.5, "b": None}], ("a", "b")).splitlines()[-1] == "| 0.500000 | — |"
+    assert reports.nested([{"x": 1, "y": "a", "v": 2}], ("x", "y")) == {"1": {"a": {"v": 2}}}
+
+
+def test_vectors(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "t", [1.0, 0.0]), ("b", "u", [0.0, 1.0])], "id string, text string, embedding array<double>")
+    vectors.write_cache(rows, str(tmp_path / "c"), "m", "r", 2, 8)
+    assert vectors.read_cache(spark, str(tmp_path / "c"), rows, model_id="m", revision="r", dim=2, max_length=8).count() == 2
+    with pytest.raises(ValueError, match="another model_id: 2"):
+        vectors.read_cache(spark, str(tmp_path / "c"), rows, model_id="x")
+    with pytest.raises(Exception, match="zero"):
+        vectors.write_cache(rows.withColumn("embedding", F.array(F.lit(0.0), F.lit(0.0))), str(tmp_path / "d"), "m", "r", 2, 8)
+    cache = spark.read.parquet(str(tmp_path / "c"))
+    with pytest.raises(Exception, match="no vector"):
+        vectors.query_vectors(spark.createDataFrame([(1, "other")], "query_id int, text string"), cache, cache).collect()
+    asked = spark.createDataFrame([(1, "k"), (2, "l"), (3, "l")], "id int, key string")
+    memo = spark.createDataFrame([("k", "old")], "key string, value string")
+    got, fresh = vectors.memoized(asked, memo, "key", "value", lambda m: m.withColumn("value", F.lit("new")))
+    assert [r["value"] for r in got.orderBy("id").collect()] == ["old", "new", "new"] and fresh.count() == 1
+    with pytest.raises(ValueError, match="several"):
+        vectors.memoized(asked, memo.union(spark.createDataFrame([("k", "x")], memo.schema)), "key", "value", lambda m: m)
+    assert [r["y"] for r in vectors.complete(asked, "key", "y", lambda: lambda xs: [x.upper() for x in xs]).orderBy("id").collect()] == ["K", "L", "L"]
+
+
+def test_running(spark):
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, (i * 37) % 50, i) for i in range(300)], "s int, v int, id int")
+    want: dict = {}
+    for s, v, i in sorted(((r["s"], r["v"], r["id"]) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])):
+        want.setdefault(s, []).append((v, i))
+    for r in sampling.placed(df, "s", "v", "id").collect():
+        assert want[r["s"]][r["place"] - 1] == (r["v"], r["id"])
+    q = stats.quantiles(df, "v", [0.0, 0.25, 0.9, 1.0], ["s"])
+    for r in q.collect():
+        assert np.allclose(r["q"], np.quantile([v for v, _ in want[r["s"]]], [0, 0.25, 0.9, 1]))
+    assert abs(stats.seven_numbers(df, "v", large=True).first()["median"] - np.median(df.toPandas()["v"])) < 1e-9
+    from plain_ranks import spearman_of
+
+    got = stats.spearman(df.where("s is not null"), "v", "id", ["s"]).collect()
+    for r in got:
+        assert abs(r["spearman"] - spearman_of(want[r["s"]])) < 1e-9
+    b = stats.bootstrap_counts(df.withColumn("g", F.lit("x")), "v", "id", "g", 400).first()
+    exact = stats.exact_bootstrap(np.array([r["v"] for r in df.collect()]), 4000)
+    assert abs(b["low"] - exact[1]) < 1 and abs(b["high"] - exact[2]) < 1
+
+
+def test_plan_guards(spark):
+    with pytest.raises(ValueError, match="unknown routes"):
+        retrieval_plan.config_table(spark, {"x": {"other": 1.0}})
+    with pytest.raises(ValueError, match="finite"):
+        retrieval_plan.config_table(spark, {"x": {"bm25": -1.0}})
+    a, b = spark.range(3), spark.range(2)
+    with pytest.raises(ValueError, match="lacks"):
+        retrieval_plan.require_same_ids({"a": a, "b": b})
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "id string, n int, d string")
+    with pytest.raises(ValueError, match="repeats"):
+        gates.require_unique(rows, "id")
+    with pytest.raises(ValueError, match="differ"):
+        experiments.require_baseline(rows.select("id", F.col("d").alias("output")).limit(1), rows.select("id", F.lit("z").alias("output")).limit(1))
+    gates.require_same_experiment(rows, rows, ("id", "n"))
+    cases = spark.createDataFrame([("a", "v", "o"), ("b", "v", "")], "id string, vernacular string, original string")
+    with pytest.raises(ValueError, match="originals"):
+        evaluation.joined_cases(cases, cases.select("id", F.lit("x").alias("output"), F.lit("m").alias("model")))
+    with pytest.raises(ValueError, match="partner"):
+        evaluation.joined_cases(cases, cases.limit(0).select("id", F.lit("x").alias("output"), F.lit("m").alias("model")))
+
+
+def test_evaluate(spark):
+    rows = [(str(i), f"颂莲走了。第{i}天她说了三句话。", f"颂莲走去，第{i}天说三句话。") for i in range(1, 6)]
+    cases = spark.createDataFrame(rows, "id string, vernacular string, original string")
+    out = cases.select("id", F.concat("original", F.lit("完。")).alias("output"), F.lit("m").alias("model"))
+    reference = style.fit_reference(style.style_features(cases, "original", ("id",)))
+    per_case, report = evaluation.evaluate(cases, out, reference, fidelity.Dimensions(names=("颂莲",)), "run")
+    assert report["n_cases"] == 5 and report["model"] == "m" and report["aggregate"]["entity_recall"] == 1.0 and report["aggregate"]["ppl"] is None
+    assert abs(report["aggregate"]["profile_gap"] - sum(abs(v) for v in report["profile_mean_delta"].values()) / 20) < 1e-12
+    control = per_case.withColumn("hallucination_rate", F.lit(1.0))
+    judged = evaluation.compare(per_case, control, {"hallucination_rate": "lower", "copy_ratio": None}, draws=100)
+    got = {r["metric"]: r["verdict"] for r in judged.collect()}
+    assert got == {"hallucination_rate": "improved", "copy_ratio": None} and evaluation.exit_condition(judged).first()["met"]
+    whole = evaluation.summary({"main": report, "control": report}, "main", "control", judged)
+    assert [g["role"] for g in whole["groups"]] == ["primary", "control"] and "| metric |" in evaluation.summary_markdown(whole)
+    assert evaluation.changed_cases(per_case, control).first()["changed"] == 0
+
+
+def test_loop_fallbacks(spark):
+    empty = F.expr("cast(array() as array<struct<id:string,plain:string,styled:string>>)")
+    requests = spark.createDataFrame([("a", "in a"), ("b", "in b"), ("c", "in c")], "id string, input string").withColumn("exemplars", empty)
+
+    def generate(df):
+        text = F.when(F.col("id") == "a", F.lit(" ")).when((F.col("id") == "c") & (F.col("iter") == 0), F.lit("first"))
+        return df.withColumn("text", text).withColumn("error", F.when(F.col("id") == "b", "E").when((F.col("id") == "c") & (F.col("iter") > 0), "E"))
+
+    v = F.array(F.struct(F.lit("entity_missing").alias("kind"), F.lit("x").alias("expected"), F.lit(None).cast("string").alias("actual")))
+    got = {r["id"]: r for r in loop.run(requests, generate, lambda df: df.withColumn("violations", v), lambda df: df.withColumn("score", F.lit(-1.0))).collect()}
+    assert [(got[i]["output"], got[i]["selected_round"], got[i]["total_rounds"], got[i]["termination"], got[i]["fallback_kind"]) for i in "abc"] == [
+        ("in a", None, 3, "fallback", "all_blank"),
+        ("in b", None, 1, "fallback", "first_round_error"),
+        ("first", 1, 2, "fallback", "later_round_error"),
+    ]
+    assert all("in " not in t and "first" not in t for r in got.values() for t in r["trace"])
+
+
+def test_resumable(spark, tmp_path):
+    source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, output string")
+    rows.write.json(source)
+    work = lambda df: df.withColumn("done", F.upper("output"))
+    jobs.resumable(spark, source, rows.schema, work, sink, check).awaitTermination()
+    spark.createDataFrame([("c", "x")], rows.schema).write.mode("append").json(source)
+    jobs.resumable(spark, source, rows.schema, work, sink, check).awaitTermination()
+    assert sorted(r["id"] for r in jobs.results(spark, sink).collect()) == ["a", "b", "c"]
+
+
+def test_service(spark):
+    bad = spark.createDataFrame([("a", "", 1), ("b", "x", 4), ("c", "x", 2)], "id string, text string, max_iter int")
+    assert sorted(r["id"] for r in service.request_errors(bad).collect()) == ["a", "b"]
+    assert service.health({"x": lambda: True, "y": lambda: 1 / 0}) == {"status": "degraded", "dependencies": {"x": "up", "y": "down (ZeroDivisionError)"}}
 
 
 def test_fusion(spark):
@@ -145,7 +406,7 @@ def test_leak(spark):
 def test_loop(spark):
     r = lambda n, out, v, s: F.struct(F.lit(n).alias("round"), F.lit(out).alias("output"), F.lit(v).alias("violations"), F.lit(s).alias("score"))
     assert one(spark, agent.best_round(F.array(r(1, "a", 2, 0.9), r(2, "b", 1, 0.1), r(3, "", 0, 1.0)))) == 2
-    assert one(spark, agent.cut_echo(F.lit("正文 " + agent.LEADS[0] + "- x"))) == "正文"
+    assert one(spark, agent.cut_echo(F.lit("正文 " + agent.LEADS["followup"] + "- x")))["kept"] == "正文"
     assert one(spark, agent.pairwise_vote(F.lit(False), F.lit("A"), F.lit("B"))) == "win"
     assert one(spark, gates.copy_limit(F.lit(0.5), F.lit(0.0))) == 0.70
 
