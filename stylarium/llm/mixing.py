@@ -2,7 +2,8 @@
 
 Domains are the values of a labelled table. A naive Bayes model gives each
 document a posterior over domains, from five bucketed text features and from
-the hashed words that tell the domains apart, all counted on all labelled rows.
+the hashed words that tell the domains apart, counted on at most SAMPLE_ROWS
+hash-chosen labelled rows of each domain.
 Posteriors are multiples of 1/GRID that add up to 1. Document rates r >= 0 then
 minimise
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scratch
@@ -35,6 +36,7 @@ from .common import cut, scratch
 BUCKETS, SMOOTH, TEMPER, RIDGE = 6, 1.0, 0.8, 0.0001
 STEPS, TOLERANCE, LEAST = 100, 1e-6, 1e-4
 SLOTS, CLEAR, LEAST_ROWS, GRID = 1 << 16, 3.0, 3, 32  # of word hashes; standard errors; labelled rows; steps of a posterior
+SAMPLE_ROWS = 4000  # labelled rows of each domain that the classifier is fitted on, chosen by hash
 FEATURES = ("f_length", "f_word", "f_upper", "f_odd", "f_lines")
 
 
@@ -78,7 +80,7 @@ def word_weights(rows: DataFrame, own: DataFrame, size: dict[str, int]) -> DataF
     """
     domains = sorted(size)
     total = sum(size.values())
-    counts = rows.select("doc_id", F.explode("slots").alias("slot")).join(own, "doc_id").groupBy("slot").pivot("domain", domains).count().na.fill(0)
+    counts = rows.join(F.broadcast(own), "doc_id").select("domain", F.explode("slots").alias("slot")).groupBy("slot").pivot("domain", domains).count().na.fill(0)
     n = {d: F.col(f"`{d}`") for d in domains}
     every = sum(n.values(), F.lit(0))
     base = every / total
@@ -98,11 +100,14 @@ def word_weights(rows: DataFrame, own: DataFrame, size: dict[str, int]) -> DataF
     return counts.where((every >= LEAST_ROWS) & (every < total) & told).select("slot", F.array(*logs).alias("w"))
 
 
-def posteriors(rows: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame]:
+def posteriors(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], DataFrame]:
     """Domains, and rows (doc_id, n_tokens) with p, the posterior in multiples of 1 / GRID."""
-    own = labels.where("domain is not null and doc_id is not null").select("doc_id", "domain").distinct()
+    named = labels.where("domain is not null and doc_id is not null").select("doc_id", "domain").distinct()
+    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id")
+    own = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).drop("r")
+    own = cut(own, "labelled")
     counts = (
-        rows.join(own, "doc_id")
+        rows.join(F.broadcast(own), "doc_id")  # at most sample_rows a domain
         .select("domain", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in FEATURES])).alias("x"))
         .groupBy("domain", "x.f", "x.b")
         .count()
