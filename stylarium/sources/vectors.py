@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a cache was made with; a reader must ask for the same.
 PROVENANCE = ("model_id", "revision", "dim", "max_length")
@@ -92,7 +93,7 @@ def complete(df: DataFrame, column: str, output: str, client: Callable[[], Calla
 
     The answers come in the order asked; another number of answers is an error.
     """
-    schema = df.schema.add(output, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()

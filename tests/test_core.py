@@ -375,7 +375,7 @@ def test_statistics(spark):
     assert stats.exact_bootstrap(np.ones(5)) == (1.0, 1.0, 1.0)
     assert one(spark, stats.verdict(F.lit(1), F.lit(1), True)) == "improved"
     assert one(spark, stats.verdict(F.lit(0), F.lit(1), True)) == "no difference"
-    t = gates.targets(F.lit(0.92), F.lit(0.005), F.lit(0.204))
+    t = gates.targets({"numeral_recall": F.lit(0.92), "hallucination_rate": F.lit(0.005), "profile_gap": F.lit(0.204)})
     assert [one(spark, c) for c in t.values()] == [True, True, False]
 
 
