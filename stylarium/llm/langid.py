@@ -204,10 +204,13 @@ def learn(
     """
     rows = docs.where("lang is not null and not held_out and text is not null and doc_id is not null")
     draw = F.xxhash64("doc_id", F.lit(11))
-    # A bound on the hash, by the language's number of rows, leaves few more rows to rank than are taken.
-    sizes = rows.groupBy("lang").agg((3.0 * sample_docs / F.count("*") + 1e-6).alias("part"))
-    near = rows.select("doc_id", "lang", draw.alias("draw")).join(sizes, "lang")
-    near = near.where((F.col("draw") / float(1 << 63) + 1) / 2 <= F.col("part"))
+    # A bound on the hash, by the language's number of rows, leaves few more rows to rank than are taken. The model
+    # has a column a language on the driver, so their numbers of rows fit there too.
+    sizes = [x for r in rows.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(3.0 * sample_docs / r["count"] + 1e-6))]
+    if not sizes:
+        return [], np.empty((len(pieces) + 1, 0))
+    near = rows.select("doc_id", "lang", draw.alias("draw"))
+    near = near.where((F.col("draw") / float(1 << 63) + 1) / 2 <= F.element_at(F.create_map(*sizes), F.col("lang")))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs)
     # The ids are of bounded number, so that their texts need no shuffle.

@@ -58,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.drop_repeats(documents(spark, sf_dir), window=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", (F.col("n_shared") > 0).alias("has_shared"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

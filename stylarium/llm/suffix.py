@@ -12,6 +12,13 @@ neighbours, gets the longest repeat through it. Anchors with more different
 contexts than GROUP never meet in one task: their runs of windows are halved
 again and again, and counted by content, until every piece is decided.
 
+Passages of many short words can be shorter than the window. Beside the spans
+each row therefore has n_shared, the number of its sampled strings of WORDS
+words that stand in another document too: of each run of RUN such strings the
+one of least hash is sampled, so that any passage of WORDS + RUN - 1 words or more that
+two documents share is noticed, and a document that shares no WORDS words has 0.
+Equal rows of one doc_id count as one document there.
+
 Edge cases: null text is empty; strings never cross rows; texts shorter than
 the window repeat nothing. Rows repeated with one doc_id (or a null one) count
 as documents of their own, so equal rows remove each other's text. Bytes are
@@ -28,10 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHasher, bound_batches, cut, lean, scratch
+from .common import ByteHasher, bound_batches, cut, lean, mix64, scratch
+from .neardup import word_hashes
 
 GRAM, GROUP, PIECE = 48, 2000, 1 << 19
 LOW = (1 << 24) - 1
+WORDS, RUN = 32, 20  # passages of over 50 words are noticed
 
 
 def least_in_windows(v: np.ndarray, width: int) -> np.ndarray:
@@ -295,11 +304,38 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     return spans if hot.isEmpty() else spans.union(refined(hot, window))
 
 
+def passage_keys(raw: bytes, hasher: ByteHasher, words: int = WORDS, run: int = RUN) -> np.ndarray:
+    """The distinct hashes of the sampled strings of words."""
+    each = word_hashes(raw, hasher)[1]
+    n = len(each) - words + 1
+    if n < run:
+        return np.zeros(0, np.int64)
+    hasher.reserve(len(each))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each * hasher.up[: len(each)], dtype=np.uint64)))
+    strings = mix64((total[words:] - total[:-words]) * hasher.down[:n])
+    return np.unique(least_in_windows(strings, run)).view(np.int64)
+
+
+def sampler(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hasher = ByteHasher()
+    for pdf in it:
+        keys = [passage_keys(encoded(t), hasher) for t in pdf["text"]]
+        ids = np.repeat(pdf["id"].to_numpy(np.int64), [len(k) for k in keys])
+        yield pd.DataFrame({"id": ids, "key": np.concatenate([np.zeros(0, np.int64), *keys])})
+
+
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """id, n_shared of the rows (id, text) that share sampled strings with a row of another id."""
+    keys = cut(docs.mapInPandas(lean(sampler), "id long, key long"), "passages")
+    both = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    return keys.join(both, "key", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("n_shared"))
+
+
 def cutter(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Cuts the spans out of each text."""
     for pdf in it:
         rows = []
-        for doc, text, starts, ends in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["ends"], strict=True):
+        for doc, text, starts, ends, shared in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["ends"], pdf["n_shared"], strict=True):
             raw, kept, at, runs, removed = encoded(text), [], 0, [], 0
             if starts is not None:
                 for a, b in sorted(zip(starts, ends, strict=True)):
@@ -312,15 +348,16 @@ def cutter(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 removed += b - a
                 at = b
             rest = b"".join([*kept, raw[at:]])
-            rows.append((doc, len(raw), removed, len(runs), hashlib.sha256(rest).hexdigest(), rest, [tuple(r) for r in runs]))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+            rows.append((doc, len(raw), removed, len(runs), hashlib.sha256(rest).hexdigest(), rest, [tuple(r) for r in runs], shared))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "n_shared"])
         yield out.astype({"doc_id": "Int64"})
 
 
 def drop_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (array of start, end)."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (array of start, end), n_shared."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("own", F.xxhash64("text"))
+    row_id = F.xxhash64("doc_id", "own")
     with scratch(docs.sparkSession):
         spans = (
             repeated_spans(docs, window)
@@ -330,9 +367,9 @@ def drop_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", tex
             .select(F.col("doc_id").alias("k"), F.col("own").alias("o"), F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
         )
         spans = cut(spans, "spans", keep=True)
-    return docs.join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col("k")) & (F.col("own") == F.col("o")), "left").select(
-        "doc_id", "text", "starts", "ends"
-    ).mapInPandas(
-        cutter,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>",
+        shared = cut(shared_passages(docs.select(row_id.alias("id"), "text")), "shared", keep=True)
+    found = docs.withColumn("id", row_id).join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col("k")) & (F.col("own") == F.col("o")), "left")
+    return found.join(shared, "id", "left").select("doc_id", "text", "starts", "ends", F.coalesce("n_shared", F.lit(0)).alias("n_shared")).mapInPandas(
+        lean(cutter),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>, n_shared long",
     )

@@ -1,11 +1,12 @@
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
 from brute import base_spans, near_components, pieces_ok, repeats
 
 pytest.importorskip("stylarium.llm")
-from pyspark.sql import Row, types as T  # noqa: E402
+from pyspark.sql import Row, functions as F, types as T  # noqa: E402
 
 from stylarium.llm import (  # noqa: E402
     ann,
@@ -165,6 +166,53 @@ def test_pii_hard(spark):
         assert got[i]["base_sha256"] == digest_of(t), (t[:60], base_spans(t)[:5], got[i]["spans"][:100])
 
 
+def planted(n, rng):
+    """Texts with announced and bare secrets and spelled addresses, and others with versions, dates and long words; what is planted."""
+    rows, spans = [], {}
+    for i in range(n):
+        words = [str(rng.choice(WORDS)) for _ in range(30)]
+        sign = "".join(rng.choice(list("0123456789abcdef"), 40))
+        name = f"{rng.choice(list('abcdef'))}{int(rng.integers(10, 99))}"
+        kind = [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 2, 3, 3, 4, 4, 5][i % 20]
+        more = {
+            0: [f'token = "{sign}"'],
+            1: [f'see "{sign}"'],
+            2: [f"write to {name} (at) host{int(rng.integers(9))} (dot) com"],
+            3: ["version 2024.10.300.7 of 2024-01-02, 12-34-56"],
+            4: ["internationalisation-2 antidisestablishmentarianism", "look at this. That"],
+            5: [],
+        }[kind]
+        text = " ".join([*words[:15], *more, *words[15:]])
+        rows.append((i, text))
+        if kind in (0, 1):
+            spans[i] = f"secret:{text.index(sign)}:{text.index(sign) + 40}"
+        if kind == 2:
+            at = text.index(f"{name} (at)")
+            spans[i] = f"email:{at}:{at + len(f'{name} (at) host0 (dot) com')}"
+    return rows, spans
+
+
+def test_pii_added(spark):
+    """Learned on announced ones alone, bare secrets and spelled addresses of held-out rows are found, and little else."""
+    rows, spans = planted(1200, np.random.default_rng(4))
+    found = by_id(pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))))
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    hits = sum(spans[i] in found[i]["spans"].split(",") for i in held if i in spans)
+    wrong = sum(bool(set(found[i]["spans"].split(",")) - {spans.get(i), ""}) for i in held)
+    assert hits >= 0.95 * sum(i in spans for i in held) and wrong <= 0.02 * len(held)
+    assert all(found[i]["base_sha256"] == digest_of(t) for i, t in rows)
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in found.values())
+
+
+def test_pii_trees():
+    """Trees part what one split cannot, and the calibrated threshold keeps the precision."""
+    mask = lambda a, b: a + pii.LEVELS * b
+    rows = [(mask(a, b), 90.0 if (a > 1) != (b > 1) else 2.0, 2.0 if (a > 1) != (b > 1) else 90.0) for a in range(4) for b in range(4)]
+    good = pii.accepted_masks(rows, rows)
+    assert set(good) == {mask(a, b) for a in range(4) for b in range(4) if (a > 1) != (b > 1)}
+    assert pii.accepted_masks(rows, [(m, 1.0, 5.0) for m, _, _ in rows]) == {} and pii.accepted_masks([], []) == {}
+
+
 def test_packing(spark, small, docs, odd, nothing):
     rows = queries.op3_packing(spark, small).collect()
     tokens, sequences = pieces_ok(rows, docs, queries.vocabulary(queries.WORD_VOCABULARY))
@@ -427,6 +475,19 @@ def test_repeats(spark, small, docs, odd, nothing):
     assert suffix.drop_repeats(nothing).collect() == []
 
 
+def test_shared_passages(spark):
+    """Passages of 51 words are noticed in both documents, however short their words; 31 shared words or one document's own repeats are not."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"{a}{b}" for a, b in zip(rng.integers(0, 10**6, n), rng.choice(list("xyz"), n), strict=True)]
+    tiny = lambda n: list(rng.choice(list("abcdefgh"), n))
+    long_, short, below = fresh(51), tiny(51), fresh(31)
+    texts = [fresh(80) + long_ + fresh(90), fresh(3) + long_, fresh(70) + short + fresh(5), short + fresh(60), fresh(60) + below + fresh(60), below + fresh(80)]
+    own = fresh(60)
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, own + own, fresh(200), []])] + [(50, None), (51, " ".join(fresh(100))), (51, " ".join(fresh(100)))]
+    got = suffix.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_shared"] > 0 for r in got} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False, 8: False, 50: False, 51: False}
+
+
 @pytest.mark.parametrize("group", [2000, 2])
 def test_repeats_of_all_shapes(spark, group, monkeypatch):
     """Small alphabets, nested passages, edited copies; with group 2 nearly all anchors go the way of hot ones."""
@@ -445,6 +506,30 @@ def test_repeats_of_all_shapes(spark, group, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w, i
 
 
+CLASHES = ("node", "key", "held_out", "__row", "row", "lines", "marks", "own", "k", "comp", "p", "slots", "rate", "__rate", "t")
+
+
+def test_clashing_columns(spark):
+    """Operators that keep a table's other columns keep them whatever their names."""
+    columns = ", ".join(f"{c} string" for c in CLASHES)
+    rows = [(i, f"line {i}\nsame boilerplate line here\n" + " ".join(WORDS[i : i + 60]), *CLASHES) for i in range(8)]
+    df = spark.createDataFrame([*rows, (9, None, *CLASHES), (None, "x", *CLASHES)], f"doc_id long, text string, {columns}")
+    for out in (linededup.drop_lines(df), mixing.resample(df, spark.createDataFrame([(i, 1.0) for i in range(10)], "doc_id long, rate double")), neardup.drop_near_duplicates(df)):
+        assert out.columns == df.columns
+        assert all(tuple(r)[2:] == CLASHES for r in out.collect())
+    kept = langid.keep_identified(df.withColumn("lang", F.lit("en")), queries.vocabulary(queries.PIECE_VOCABULARY))
+    assert kept.columns == [*df.columns, "lang"] and all(r["node"] == "node" for r in kept.collect())
+
+
+def test_language_rejects(spark):
+    """Texts in no learned language go; short clean texts stay."""
+    docs = [(i, "the cat sat on the mat and the dog ran to the house with a ball", "en") for i in range(40)]
+    docs += [(100, "xqzvk jjqwx zzkqv wxqjz kvqxz", "en"), (101, "12345 !!", "en"), (102, None, None), (103, "the dog", None), (104, "дом стоит на холме", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_identified(df, queries.vocabulary(queries.PIECE_VOCABULARY)).collect()}
+    assert set(range(40)) | {103} <= kept and not kept & {100, 101, 102, 104}
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as c
 
