@@ -323,7 +323,7 @@ def g01_exemplar_order(spark, sf_dir):
     return agent.exemplar_order(pairs(spark, sf_dir), "pair_id", "work", "src", 3)
 
 
-@query("""SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'accept' WHEN toxic = 1 AND doc_id % 3 < 2 THEN 'revise' WHEN quality = 0 AND doc_id % 2 = 0 THEN 're_retrieve' ELSE 'accept' END AS route FROM labels""")
+@query("""SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'accept' WHEN toxic = 1 AND doc_id % 3 < 2 THEN 'revise' WHEN toxic = 0 AND quality = 0 AND doc_id % 3 < 2 AND doc_id % 2 = 0 THEN 're_retrieve' ELSE 'accept' END AS route FROM labels""")
 def g06_routing(spark, sf_dir):
     t = table(spark, sf_dir, "labels")
     halt, blank = (F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(False)

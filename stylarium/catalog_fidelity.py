@@ -395,13 +395,13 @@ STOP = "lambda x: NOT list_contains(['the', 'la', 'die'], x)"
   raw AS (SELECT token, avgdl, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, tot), idf AS (SELECT token, avgdl, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
   q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter({TOKENS_SQL.format('text')}, {STOP})) AS token FROM benchmark) GROUP BY ALL),
   s AS (SELECT query_id, id, round(sum(times * idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score FROM q JOIN idf USING (token) JOIN tf USING (token) WHERE query_id <> id GROUP BY ALL),
-  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score > 0) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score > 0) SELECT query_id, id, rank, round(score, 4) AS score FROM r WHERE rank <= 10""")
 def j05_bm25_exclude_self(spark, sf_dir):
     """BM25 with stop words; a query leaves out the document of its own id, and the ranks close up."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     own = asked.select("query_id", F.col("query_id").alias("id"))
-    return rounded(retrieval.ranked(retrieval.bm25_scores(docs, asked, ("the", "la", "die")), 10, own), "query_id", "id", "rank")
+    return rounded(retrieval.ranked(retrieval.bm25_scores(docs, asked, ("the", "la", "die")), 10, own), "query_id", "id", "rank", digits=4)
 
 
 @query("""WITH h AS (SELECT item_id AS query_id, r AS rank, CASE WHEN item_id % 5 = 0 AND r = 3 THEN 1 ELSE r END AS id FROM benchmark, range(1, 4) t(r) WHERE NOT (item_id % 7 = 0 AND r = 2)) SELECT query_id FROM h GROUP BY 1 HAVING max(rank) <> count(*) OR count(DISTINCT rank) <> count(*) OR count(DISTINCT id) <> count(*)""")
