@@ -12,7 +12,7 @@ from .catalog import BM25_CTE, DIFF_SQL, PAIRS_SQL, REFERENCE_SQL, TOKENS_SQL, _
 from .catalog_fidelity import COUNTED_SQL, DIMS, FACTS_CTE, counted_pairs, pick, pick_sql
 from .functions import style, surface, text
 from .functions.text import LATIN
-from .operators import agent, gates, retrieval, stats
+from .operators import agent, gates, retrieval, sampling, stats
 from .plans import evaluation, experiments, loop, retrieval_plan
 from .sources.tables import written
 
@@ -205,16 +205,38 @@ def j02_hydrated_exemplars(spark, sf_dir):
     return h.select("config", "query_id", F.array_join(F.transform("exemplars", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.md5(x["plain"]))), "|").alias("exemplars"))
 
 
-@query(f"""WITH {HITS_SQL}, j AS (SELECT NULL AS config, 0 AS k, 'retrieval-k0' AS name UNION ALL SELECT config, k, 'retrieval-' || config || '-k' || k FROM (SELECT DISTINCT config FROM h), range(1, 4) t(k)),
-  p AS (SELECT name, q.item_id, '[{{"role":"system","content":"s"}}' || coalesce((SELECT string_agg(',{{"role":"user","content":"' || 'p' || id || '"}},{{"role":"assistant","content":"' || 's' || id || '"}}', '' ORDER BY rank DESC) FROM h WHERE h.config = j.config AND h.query_id = q.item_id AND rank <= j.k), '') || ',{{"role":"user","content":' || to_json(q.text) || '}}]' AS m FROM benchmark q, j)
-SELECT count(*) AS rows, count(DISTINCT sha256(m)) AS unique_prompts FROM p""")
+JOBS_SQL = """j AS (SELECT NULL AS config, 0 AS k, 'retrieval-k0' AS name UNION ALL SELECT config, k, 'retrieval-' || config || '-k' || k FROM (SELECT DISTINCT config FROM h), range(1, 4) t(k)),
+  p AS (SELECT name, q.item_id, '[{"role":"system","content":"s"}' || coalesce((SELECT string_agg(',{"role":"user","content":"' || 'p' || id || '"},{"role":"assistant","content":"' || 's' || id || '"}', '' ORDER BY rank DESC) FROM h WHERE h.config = j.config AND h.query_id = q.item_id AND rank <= j.k), '') || ',{"role":"user","content":' || to_json(q.text) || '}]' AS m FROM benchmark q, j)"""
+
+
+@query(f"""WITH {HITS_SQL}, {JOBS_SQL} SELECT count(*) AS rows, count(DISTINCT sha256(m)) AS unique_prompts FROM p""")
 def a28_count_work(spark, sf_dir):
     """Prompts of every query under every job, and how many of them differ."""
+    return experiments.count_work(job_prompts(spark, sf_dir))
+
+
+def job_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = made_hits(spark, sf_dir)
     x = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda e: F.struct(e["id"].cast("string").alias("id"), F.concat(F.lit("p"), e["id"].cast("string")).alias("plain"), F.concat(F.lit("s"), e["id"].cast("string")).alias("styled")))
     plan = h.groupBy("config", F.col("query_id").alias("id")).agg(x.alias("exemplars"))  # three a query
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("vernacular"))
-    return experiments.count_work(experiments.job_prompts(asked, plan, experiments.jobs(spark, CONFIGS), "s"))
+    return experiments.job_prompts(asked, plan, experiments.jobs(spark, CONFIGS), "s")
+
+
+@query(f"""WITH {HITS_SQL}, {JOBS_SQL} SELECT name, item_id AS id, substr(sha256(m), 1, 12) AS output FROM p""")
+def g17_sweep(spark, sf_dir):
+    """All jobs of a sweep with a generator that answers by the prompt's hash; the control is held against its baseline first."""
+    prompts = written(job_prompts(spark, sf_dir), "prompts")
+    answer = lambda missing: missing.withColumn("output", F.substring("digest", 1, 12))
+    baseline = prompts.where("name = 'retrieval-k0'").select("id", F.substring("digest", 1, 12).alias("output"))
+    return experiments.sweep(prompts, baseline, answer).select("name", "id", "output")
+
+
+@query("SELECT a.n_nationkey AS key, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND a.n_name <> b.n_name")
+def j15_leave_one_out(spark, sf_dir):
+    """Every nation with the 24 others of another name."""
+    pool = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    return sampling.leave_one_out(pool, "key", "name", 24)
 
 
 BQ = "SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'q', item_id, coalesce(text, '') FROM benchmark"

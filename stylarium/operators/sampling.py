@@ -82,3 +82,15 @@ def examples(pool: DataFrame, asked: DataFrame, key: str, stratum: str, attempt:
     pairs = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("asked_key", stratum).orderBy(mixed, key)))
     place = F.row_number().over(Window.partitionBy("asked_key").orderBy("turn", mixed, key))
     return pairs.withColumn("place", place).where(F.col("place") <= 2 + attempt % 2).select("asked_key", key, "place")
+
+
+def leave_one_out(pool: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """key, other for every two rows of a small pool with different ids and texts; each row must find exactly size others."""
+    if pool.limit(MOST_EXAMPLES + 1).count() > MOST_EXAMPLES:
+        raise ValueError("the pool is meant to be small")
+    others = F.broadcast(pool.select(F.col(key).alias("other"), F.col(text).alias("_other")))
+    pairs = pool.select(key, text).join(others, (F.col(key) != F.col("other")) & (F.col(text) != F.col("_other"))).select(key, "other")
+    wrong = pool.select(key).join(pairs.groupBy(key).count(), key, "left").where(F.coalesce("count", F.lit(0)) != size).limit(5).collect()
+    if wrong:
+        raise ValueError(f"pools of another size than {size}: {[(r[key], r['count']) for r in wrong]}")
+    return pairs

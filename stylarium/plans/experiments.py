@@ -72,6 +72,21 @@ def require_baseline(control: DataFrame, baseline: DataFrame) -> None:
     gates.require_empty(both.where(~F.col("output").eqNullSafe(F.col("_b"))).select("id"), "outputs that differ from the baseline")
 
 
+def sweep(prompts: DataFrame, baseline: DataFrame, compute: Callable[[DataFrame], DataFrame], control: str = "retrieval-k0", memo: DataFrame | None = None) -> DataFrame:
+    """name, id, exemplar_ids, digest, output of every job: the control first, which must equal the baseline before others run.
+
+    A prompt that several jobs share is computed once.
+    """
+    columns = ("name", "id", "exemplar_ids", "digest", "output")
+    first, fresh = generate_all(prompts.where(F.col("name") == control), memo, compute)
+    first = written(first.select(*columns), "control")
+    require_baseline(first, baseline)
+    known = first.select("digest", "output").distinct()
+    known = known if memo is None else known.unionByName(memo.select("digest", "output")).distinct()
+    rest, _ = generate_all(prompts.where(F.col("name") != control), known, compute)
+    return first.unionByName(rest.select(*columns))
+
+
 def report_mismatches(report: DataFrame, rows: DataFrame) -> DataFrame:
     """id, reported, own where the reported hash is not that of the output."""
     own = rows.select("id", sha(F.col("output"), "sha256:").alias("own"))

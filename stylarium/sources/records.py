@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import style
 from ..functions.text import CJK, Profile, clean_text, letters_length, stripped
 
 
@@ -216,6 +217,30 @@ def git_texts(spark: SparkSession, repository: str, history: bool = False, most:
     return spark.createDataFrame(list(texts()), "location string, text string")
 
 
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """The style reference of a JSON document (feature_names, n_texts, mean, std) as the one row that z scores are made with."""
+    doc = read_config(path)
+    if tuple(doc.get("feature_names", ())) != style.NAMES or not len(doc["mean"]) == len(doc["std"]) == len(style.NAMES):
+        raise ValueError(f"{path}: not a reference of the {len(style.NAMES)} features")
+    row = {f"mean_{n}": float(m) for n, m in zip(style.NAMES, doc["mean"], strict=True)} | {f"std_{n}": float(x) for n, x in zip(style.NAMES, doc["std"], strict=True)}
+    columns = [*row, "n_texts"]
+    return spark.createDataFrame([(*row.values(), int(doc["n_texts"]))], ", ".join(f"{c} double" for c in row) + ", n_texts long").select(*columns)
+
+
+def read_lexicon(path: str) -> dict[str, dict[str, float]]:
+    """Both sides of a lexicon document."""
+    doc = read_config(path)
+    return {side: {str(w): float(x) for w, x in doc[side].items()} for side in ("literary", "colloquial")}
+
+
+def read_names(path: str) -> list[tuple[str, str]]:
+    """(name, kind) of a document of checked names; a name without a kind of person or place, or twice, is an error."""
+    rows = [(str(e["name"]), str(e["kind"])) for e in read_dimension(path, "entities")]
+    if bad := [n for n, k in rows if k not in ("person", "place")] or len({n for n, _ in rows}) < len(rows):
+        raise ValueError(f"{path}: names without a kind, or twice: {bad}")
+    return rows
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path, ignoreNullFields=False)
 

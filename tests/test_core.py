@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stylarium import service
+from stylarium import plugins, service
 from stylarium.functions import fidelity, numerals, style, surface, text
 from stylarium.operators import agent, chunking, gates, leak, lexicon, retrieval, sampling, stats
 from stylarium.plans import evaluation, experiments, loop, retrieval_plan
@@ -329,6 +329,90 @@ def test_loop_fallbacks(spark):
     assert all("in " not in t and "first" not in t for r in got.values() for t in r["trace"])
 
 
+def test_sweep_and_pools(spark):
+    asked = spark.createDataFrame([("a", "in a"), ("b", "in b")], "id string, vernacular string")
+    shown = spark.createDataFrame([(c, i, [("x", "px", "sx")]) for c in ("content", "style") for i in "ab"], "config string, id string, exemplars array<struct<id:string,plain:string,styled:string>>")
+    prompts = experiments.job_prompts(asked, shown, experiments.jobs(spark, ("content", "style"), 1), "s")
+    calls = []
+
+    def compute(missing):
+        calls.append(missing.count())
+        return missing.withColumn("output", F.substring("digest", 1, 6))
+
+    baseline = prompts.where("name = 'retrieval-k0'")
+    rows = experiments.sweep(prompts, baseline.select("id", F.substring("digest", 1, 6).alias("output")), compute).collect()
+    assert calls == [2, 2] and len(rows) == 6  # both configurations show the same, so their prompts are computed once
+    with pytest.raises(ValueError, match="differ"):
+        experiments.sweep(prompts, baseline.select("id", F.lit("x").alias("output")), compute)
+    pool = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, t string")
+    assert sampling.leave_one_out(pool, "id", "t", 2).count() == 6
+    with pytest.raises(ValueError, match="another size"):
+        sampling.leave_one_out(pool, "id", "t", 12)
+    with pytest.raises(Exception, match="too few"):
+        experiments.job_prompts(asked, shown, experiments.jobs(spark, ("content",), 2), "s").collect()
+
+
+def test_attempts(spark):
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, original string")
+
+    def generate(rows, attempt):
+        return rows.withColumn("output", F.concat("original", F.lit(str(attempt)))).withColumn("model", F.lit("m"))
+
+    def gate(rows):
+        return rows.withColumn("reasons", F.when((F.col("id") == "b") & (F.col("attempt") < 3), "length").otherwise(""))
+
+    accepted, records_ = experiments.attempts(chunks, generate, gate)
+    assert sorted((r["id"], r["attempt"]) for r in accepted.collect()) == [("a", 1), ("b", 3)] and records_.count() == 4
+    assert [r["feedback"] for r in records_.where("id = 'b'").orderBy("attempt").collect()] == ["", "length", "length"]
+    assert one(spark, experiments.repaired_json(F.lit('so:\n```json\n{"a": 1}\n```'), "a int"))["a"] == 1
+
+
+def test_dimensions(spark, tmp_path):
+    import json
+    import subprocess
+
+    path = tmp_path / "reference.json"
+    path.write_text(json.dumps({"feature_names": list(style.NAMES), "n_texts": 3, "mean": [0.0] * 20, "std": [1.0] * 20}), encoding="utf-8")
+    z = style.z_scores(style.style_features(spark.createDataFrame([(1, "甲乙。")], "doc_id int, text string")), records.read_reference(spark, str(path))).first()["z"]
+    assert z[0] == 2.0
+    path.write_text('{"feature_names": [], "mean": [], "std": [], "n_texts": 0}', encoding="utf-8")
+    with pytest.raises(ValueError):
+        records.read_reference(spark, str(path))
+    path.write_text('{"entities": [{"name": "颂莲", "kind": "person", "works": []}]}', encoding="utf-8")
+    assert records.read_names(str(path)) == [("颂莲", "person")]
+    path.write_text('{"literary": {"书面": 1.5}, "colloquial": {}}', encoding="utf-8")
+    assert records.read_lexicon(str(path))["literary"] == {"书面": 1.5}
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    (repo / "a.txt").write_text("old", encoding="utf-8")
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "1")
+    (repo / "a.txt").write_text("new", encoding="utf-8")
+    git("commit", "-qam", "2")
+    assert [r["text"] for r in records.git_texts(spark, str(repo)).collect()] == ["new"]
+    assert sorted(r["text"] for r in records.git_texts(spark, str(repo), history=True).collect()) == ["new", "old"]
+
+
+def test_plugins(spark):
+    v = one(spark, plugins.hash_embedder(8)(F.lit("甲乙甲")))
+    assert len(v) == 8 and abs(sum(x * x for x in v) - 1) < 1e-9
+    assert one(spark, plugins.hash_embedder(8)(F.lit(""))) == [0.0] * 8 and one(spark, plugins.character_counter(F.lit(None).cast("string"))) == 0
+
+
+def test_ablation(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2))
+    y = x @ np.array([[0.0, 1.0], [-1.0, 0.0]]) + 0.01 * rng.normal(size=(60, 2))
+    pool = spark.createDataFrame([(i, "w", i % 3, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, work string, fold int, x array<double>, y array<double>")
+    gaps = experiments.ablation(pool, pool.where("id < 12").withColumnRenamed("id", "case_id"), 2)
+    summary = experiments.ablation_summary(gaps)
+    mean = {r["arm"]: r["gap"] for r in summary.where("k = 3 and is_total = 1").collect()}
+    assert mean["predicted"] < 0.6 * mean["raw"] and mean["oracle"] <= mean["predicted"] * 1.2 < mean["random"]
+    assert all(r["clear"] for r in experiments.advantage(gaps, draws=200).collect()) and experiments.oracle_violations(summary.where("arm = 'oracle'")).isEmpty()
+
+
 def test_resumable(spark, tmp_path):
     source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, output string")
