@@ -101,4 +101,34 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op7_exact_topk": OP7_SQL}
+#: Documents' sets of shingles, classes of equal sets, links by counts of common shingles, and the least document reachable.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM w
+), g AS (
+  SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s
+), x AS (
+  SELECT rep, n, unnest(s) AS h FROM g
+), p AS (
+  SELECT a.rep AS a, b.rep AS b
+  FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p
+), r(u, c) AS (
+  SELECT u, u FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.u WHERE r.c < e.v
+), c AS (
+  SELECT u AS rep, min(c) AS comp FROM r GROUP BY 1
+), d AS (
+  SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(least(c.comp, g.rep), s.doc_id) AS component_id
+  FROM s LEFT JOIN g ON s.s = g.s AND s.doc_id IS NOT NULL LEFT JOIN c ON c.rep = g.rep
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM d
+"""
+
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL}
