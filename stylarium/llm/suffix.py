@@ -357,7 +357,7 @@ def drop_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", tex
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (array of start, end), n_shared."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("own", F.xxhash64("text"))
-    row_id = F.xxhash64("doc_id", "own")
+    row_id = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "own")
     with scratch(docs.sparkSession):
         spans = (
             repeated_spans(docs, window)
@@ -369,8 +369,11 @@ def drop_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", tex
         spans = cut(spans, "spans", keep=True)
     with scratch(docs.sparkSession):
         shared = cut(shared_passages(docs.select(row_id.alias("id"), "text")), "shared", keep=True)
-    found = docs.withColumn("id", row_id).join(spans, (F.coalesce("doc_id", F.lit(-1)) == F.col("k")) & (F.col("own") == F.col("o")), "left")
-    return found.join(shared, "id", "left").select("doc_id", "text", "starts", "ends", F.coalesce("n_shared", F.lit(0)).alias("n_shared")).mapInPandas(
+    # Both small tables are joined first, so that the texts are dealt once.
+    marks = spans.withColumn("id", F.xxhash64("k", "o")).join(shared, "id", "full")
+    found = docs.withColumn("id", row_id).join(marks, "id", "left")
+    own = (F.coalesce("doc_id", F.lit(-1)) == F.col("k")) & (F.col("own") == F.col("o"))
+    return found.select("doc_id", "text", F.when(own, F.col("starts")).alias("starts"), F.when(own, F.col("ends")).alias("ends"), F.coalesce("n_shared", F.lit(0)).alias("n_shared")).mapInPandas(
         lean(cutter),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>, n_shared long",
     )
