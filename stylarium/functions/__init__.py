@@ -1,0 +1 @@
+"""Column expressions over texts: cleaning, style, surface overlap, quantities, facts."""
