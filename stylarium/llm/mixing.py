@@ -274,7 +274,7 @@ def resample(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataF
     """
     rates = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("rate").alias("__rate"))
     packed = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__key"))
-    both = packed.join(rates, F.col("__key") == F.col("__id"), "left")
+    both = packed.join(rates.hint("merge"), F.col("__key") == F.col("__id"), "left")
     draw = F.pmod(F.xxhash64("__key", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor(F.coalesce("__rate", F.lit(1.0)) + draw).cast("int")
     return both.select("__row", F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).select("__row.*")

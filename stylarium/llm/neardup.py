@@ -296,7 +296,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
     # A class is written by one row of its least doc_id.
     classes = signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "row", "own")).alias("rep"))
     classes = cut(classes.select("set_id", "rep.*"), "classes")
-    reps = signed.join(classes.select("set_id", "row"), ["set_id", "row"], "left_semi")
+    reps = signed.join(classes.select("set_id", "row").hint("merge"), ["set_id", "row"], "left_semi")
     reps = cut(reps.select(F.xxhash64("set_id").alias("node"), "doc_id", "own", "set_id", "keys", "many", "few"), "reps")
     pairs_of = reps.select("node", F.explode("keys").alias("key"))
     sizes = (
@@ -309,13 +309,14 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
     buckets = cut(pairs_of.join(sizes.select("key", "n"), "key").select("key", "n", "node"), "buckets")
     busy = reps.join(buckets.select("node").distinct(), "node", "left_semi")
     # Rows of one doc_id may differ in text: the text's hash names the row, and equal rows count once.
-    texts = cut(docs.join(busy.select("node", "doc_id", "own"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
+    # Tables of texts and registers are dealt by key at every size, small ones too, so that plans behave alike.
+    texts = cut(docs.join(busy.select("node", "doc_id", "own").hint("merge"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
     regs = cut(busy.select("node", "many", "few"), "regs")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return candidates.join(left, "a").join(right, "b").mapInPandas(verifier(k, percent), "a long, b long")
+        return candidates.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInPandas(verifier(k, percent), "a long, b long")
 
     links = cut(buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
     labels = buckets.select("node", F.col("node").alias("comp")).limit(0)
@@ -330,8 +331,8 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
         ).where("comp <> at")
         pairs = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         pairs = (
-            pairs.join(regs.toDF("a", "many_a", "few_a"), "a")
-            .join(regs.toDF("b", "many_b", "few_b"), "b")
+            pairs.join(regs.toDF("a", "many_a", "few_a").hint("merge"), "a")
+            .join(regs.toDF("b", "many_b", "few_b").hint("merge"), "b")
             .mapInPandas(screener(least), "a long, b long")
         )
         new = cut(confirmed(pairs), "links")
@@ -356,7 +357,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
         .mapInPandas(sifter(least), "key long, block long, other long, side int, node long"),
         "sifted",
     )
-    own = sifted.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(regs, "node").join(texts, "node")
+    own = sifted.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(regs, "node").join(texts.hint("merge"), "node")
     groups = own.groupBy("key", "block", "other").agg(F.collect_list(F.struct("side", "node", "comp", "many", "few", "text")).alias("x"))  # about 2 BLOCK
     new = cut(groups.select("x").mapInPandas(crosser(least, k, percent), "a long, b long").distinct(), "links")
     labels = cut(components(links.union(new)), "labels")

@@ -275,18 +275,18 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     )
     # Only anchors with a context of its own beside another one need their bytes.
     groups = classes.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
-    whole = anchors.join(classes.where("n > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select(
+    whole = anchors.join(classes.where("n > 1").select("anchor", "ctx").hint("merge"), ["anchor", "ctx"]).select(
         "doc_id", "own", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")
     )
     work = (
-        classes.join(groups, "anchor")
+        classes.join(groups.hint("merge"), "anchor")
         .select("rep.doc_id", "rep.own", F.struct("anchor", "n", "size", "rep.pos", "rep.lo", "rep.hi").alias("item"))
         .groupBy("doc_id", "own")
         .agg(F.collect_list("item").alias("items"))  # no more than the document is long
     )
     contexts = cut(
         docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-        .join(work, ["doc_id", "own"])
+        .join(work.hint("merge"), ["doc_id", "own"])  # dealt alike at every size
         .mapInPandas(
             slicer(window), "doc_id long, own long, anchor long, n long, size long, pos long, lo long, hi long, bytes binary"
         ),
@@ -328,7 +328,7 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     """id, n_shared of the rows (id, text) that share sampled strings with a row of another id."""
     keys = cut(docs.mapInPandas(lean(sampler), "id long, key long"), "passages")
     both = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    return keys.join(both, "key", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("n_shared"))
+    return keys.join(both.hint("merge"), "key", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("n_shared"))
 
 
 def cutter(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,7 +371,7 @@ def drop_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", tex
         shared = cut(shared_passages(docs.select(row_id.alias("id"), "text")), "shared", keep=True)
     # Both small tables are joined first, so that the texts are dealt once.
     marks = spans.withColumn("id", F.xxhash64("k", "o")).join(shared, "id", "full")
-    found = docs.withColumn("id", row_id).join(marks, "id", "left")
+    found = docs.withColumn("id", row_id).join(marks.hint("merge"), "id", "left")
     own = (F.coalesce("doc_id", F.lit(-1)) == F.col("k")) & (F.col("own") == F.col("o"))
     return found.select("doc_id", "text", F.when(own, F.col("starts")).alias("starts"), F.when(own, F.col("ends")).alias("ends"), F.coalesce("n_shared", F.lit(0)).alias("n_shared")).mapInPandas(
         lean(cutter),
