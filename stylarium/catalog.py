@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import style, surface, text
 from .functions.text import LATIN
-from .operators import agent, gates, leak, lexicon, retrieval, sampling, stats
+from .operators import agent, leak, lexicon, retrieval, sampling, stats
 from .sources.tables import written
 
 QUERIES: dict = {}

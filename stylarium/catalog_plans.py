@@ -311,10 +311,6 @@ def made_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loop.run(requests, generate, verify, score, settings())
 
 
-def _r(n: int, tag: str) -> str:
-    return pick_sql(n, "id", "r", f"'{tag}'")
-
-
 #: A round's own answers, whatever came before, then the rounds that are reached: none after a failure or a clean version.
 LOOP_CTE = f"""lr AS (SELECT doc_id AS id, r, {pick_sql(40, 'doc_id', 'r', "'error'")} = 0 AS failed, {pick_sql(8, 'doc_id', 'r', "'blank'")} = 0 AS blank, {pick_sql(4, 'doc_id', 'r', "'verify'")} AS k, {pick_sql(3, 'doc_id', 'r', "'echo'")} AS echo, -({pick_sql(100, 'doc_id', 'r', "'score'")} / 100.0::DOUBLE) AS s FROM labels, range(1, 4) t(r)),
   ls AS (SELECT *, CASE WHEN failed OR blank THEN 0 ELSE [1, 2, 1, 0][k + 1] END AS v, failed OR (NOT blank AND k = 3) AS stops FROM lr),

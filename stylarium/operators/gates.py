@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import fidelity, numerals
 from ..functions.text import CJK, Profile, letters_length, paragraphs, stripped
 
-Hit = Column
-
 
 def reasons(rules: dict[str, Column]) -> Column:
     """The names of the rules that hold, in order; null rules do not hold."""

@@ -395,6 +395,79 @@ def test_dimensions(spark, tmp_path):
     assert sorted(r["text"] for r in records.git_texts(spark, str(repo), history=True).collect()) == ["new", "old"]
 
 
+def test_plan(spark):
+    rng = np.random.default_rng(8)
+    rows = [(str(i), f"w{i % 4}", " ".join(f"t{(i * 7 + j) % 30}" for j in range(6)), rng.normal(size=4).tolist(), rng.normal(size=20).tolist()) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id string, work string, text string, v array<double>, z array<double>")
+    asked = docs.limit(5).select(F.concat(F.lit("q"), "id").alias("query_id"), "work", "text", F.col("v").alias("q"), "z")
+    made = retrieval_plan.plan(docs, asked, asked.select(F.col("query_id").alias("id")), docs.select("id", "work"), asked.select("query_id", "work"), predict=retrieval_plan.predictor(np.vstack([np.zeros(20), np.eye(20)])))
+    hits = made["hits"].collect()
+    assert len(hits) == 4 * 5 * 3 and all(set(h["sources"]) == {"style"} for h in hits if h["config"] == "style")
+    # The style route alone gives the nearest vector first.
+    z = {r[0]: np.array(r[4]) for r in rows}
+    for h in hits:
+        if h["config"] == "style" and h["rank"] == 1:
+            own = z[h["query_id"][1:]]
+            assert h["id"] == min(z, key=lambda i: (np.linalg.norm(z[i] - own), i))
+    assert made["jaccard"].count() == 6 * 3 and made["gaps"].count() == 4 * 3
+    assert all(r["slots"] == 5 * r["k"] for r in made["routes"].where("is_total = 1").collect())
+    shown = retrieval_plan.hydrate(made["hits"], docs.select("id", F.col("text").alias("vernacular"), F.lit("s").alias("original")), 2)
+    assert all(len(r["exemplars"]) == 2 for r in shown.collect())
+    with pytest.raises(ValueError, match="without a pair"):
+        retrieval_plan.hydrate(made["hits"], docs.limit(0).select("id", F.col("text").alias("vernacular"), F.lit("s").alias("original")), 2)
+    with pytest.raises(ValueError, match="breaks its rules"):
+        retrieval_plan.plan(docs, asked, docs.select("id"), docs.select("id", "work"), asked.select("query_id", "work"))
+
+
+def test_loop_with_facts(spark):
+    """The loop with the real verifier and scorer: a lost name is told and written back in the second round."""
+    exemplars = F.expr("cast(array() as array<struct<id:string,plain:string,styled:string>>)")
+    requests = spark.createDataFrame([("a", "颂莲走了三次。")], "id string, input string").withColumn("exemplars", exemplars)
+    told = F.element_at("messages", -1)["content"]
+
+    def generate(df):
+        return df.withColumn("text", F.when(told.contains("「颂莲」"), "颂莲走了三次罢。").otherwise("她走了三次罢。")).withColumn("error", F.lit(None).cast("string"))
+
+    texts = spark.createDataFrame([(1, "颂莲走了。"), (2, "她走了三次，又走了。")], "id int, text string")
+    reference = style.fit_reference(style.style_features(texts, "text", ("id",)))
+    verify = loop.fidelity_verifier(fidelity.Dimensions(names=("颂莲",)))
+    score = loop.predictor_scorer(reference, np.vstack([np.zeros(20), np.eye(20)]))
+    loops = loop.run(requests, generate, verify, score)
+    r = loops.first()
+    assert (r["output"], r["selected_round"], r["total_rounds"], r["termination"]) == ("颂莲走了三次罢。", 2, 2, "accepted")
+    assert [x["violation_count"] for x in r["rounds"]] == [1, 0] and r["rounds"][0]["violations"][0]["expected"] == "颂莲"
+    record = experiments.arm_record(loops)
+    assert record["first_round_violation_cases"] == 1 and record["rounds"]["selected_round:2"] == 1
+    start = spark.createDataFrame([("a", "other")], "id string, output string")
+    assert [x["id"] for x in experiments.first_round_mismatches(loops, start).collect()] == ["a"]
+    arms = experiments.arms(spark, sources=("k0",))
+    assert sorted(experiments.run_arms(arms, lambda arm: arm["form"])) == ["agent-k0-followup", "agent-k0-restate"]
+    assert service.events(loops).where("event = 'done'").count() == 1
+
+
+def test_small_parts(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "甲"), ("b", None)], "id string, output string")
+    for _ in range(2):
+        records.append_jsonl(rows, str(tmp_path / "log"))
+    assert records.read_generations(spark, str(tmp_path / "log")).count() == 2
+    assert one(spark, records.as_json(F.struct(F.lit("é/\"").alias("a"), F.lit(None).cast("int").alias("b")))) == '{"a":"é/\\"","b":null}'
+    assert one(spark, records.from_json(F.lit('{"a": 1}'), "a int"))["a"] == 1
+    told = rows.select("id", F.concat(F.lit("sha256:"), F.sha2(F.lit("甲"), 256)).alias("output_hash"))
+    assert [r["id"] for r in records.same_outputs(told, rows).collect()] == ["b"]
+    reports.write_markdown([("One", "text")], str(tmp_path / "r.md"))
+    assert (tmp_path / "r.md").read_text() == "## One\n\ntext\n"
+    found = lexicon.log_odds_lexicon(spark.createDataFrame([("书面", 3), ("两边", 3)], "token string, n long"), spark.createDataFrame([("口语", 3), ("两边", 1)], "token string, n long"))
+    assert lexicon.lexicon_payload(found) == {"literary": {"书面": math.log(4)}, "colloquial": {"口语": math.log(0.25)}}
+    assert one(spark, fidelity.entity_count(F.lit("颂莲"), fidelity.Dimensions(names=("颂莲",)))) == 1
+    words = F.array(F.lit("颂莲"), F.lit("来"))
+    assert abs(one(spark, fidelity.proper_density(words, F.lit("颂莲来"), F.array(F.lit("颂莲")))) - 2 / 3) < 1e-9
+    assert one(spark, surface.contained_terms(F.lit("abc"), F.array(F.lit("bc"), F.lit("x"), F.lit("a")))) == ["a", "bc"]
+    assert one(spark, surface.source_overlap(F.lit("甲乙"), F.lit("甲乙丙"), 2)) == 0.5
+    assert one(spark, surface.exemplar_copy_ratio(F.lit("abcd"), F.array(F.lit("abcd"), F.lit("x")))) == 1.0
+    assert plugins.utc_clock().endswith("Z") and plugins.monotonic_clock() > 0
+    assert one(spark, plugins.message_characters(F.array(agent.message("user", F.lit("abc"))))) == 3
+
+
 def test_plugins(spark):
     v = one(spark, plugins.hash_embedder(8)(F.lit("甲乙甲")))
     assert len(v) == 8 and abs(sum(x * x for x in v) - 1) < 1e-9
