@@ -98,10 +98,6 @@ def lean(run):
     return wrapped
 
 
-def n_tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, elementwise."""
     x = x.astype(np.uint64, copy=True)
