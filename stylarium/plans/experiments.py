@@ -229,9 +229,9 @@ def ablation_summary(gaps: DataFrame) -> DataFrame:
 
 def oracle_violations(summary: DataFrame) -> DataFrame:
     """Groups whose mean lies under the oracle's: there must be none."""
-    best = summary.where("arm = 'oracle'").select("k", F.col("work").alias("_w"), "is_total", F.col("gap").alias("oracle"))
-    same = (summary["k"] == best["k"]) & summary["work"].eqNullSafe(best["_w"]) & (summary["is_total"] == best["is_total"])
-    return summary.join(best.select("k", "_w", "is_total", "oracle"), same).where(F.col("gap") < F.col("oracle") - 1e-12).select("arm", summary["k"], "work")
+    best = summary.where("arm = 'oracle'").select("k", "work", "is_total", "gap").toDF("_k", "_w", "_t", "oracle")
+    same = (F.col("k") == F.col("_k")) & F.col("work").eqNullSafe(F.col("_w")) & (F.col("is_total") == F.col("_t"))
+    return summary.join(best, same).where(F.col("gap") < F.col("oracle") - 1e-12).select("arm", "k", "work")
 
 
 def advantage(gaps: DataFrame, k: int = 3, draws: int = 10_000) -> DataFrame:

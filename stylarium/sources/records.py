@@ -200,9 +200,8 @@ def git_texts(spark: SparkSession, repository: str, history: bool = False, most:
 
     def texts() -> Iterable[tuple[str, str]]:
         if history:
-            names = dict(reversed(x.split(" ", 1)) if " " in x else (x, x) for x in git("rev-list", "--objects", "--all").decode().splitlines())
-            named = {sha: name for name, sha in names.items()}
-            found = ((sha, f"{named[sha]}@{sha[:12]}") for sha in named if git("cat-file", "-t", sha).strip() == b"blob")
+            named = dict(x.split(" ", 1) for x in git("rev-list", "--objects", "--all").decode().splitlines() if " " in x)
+            found = ((sha, f"{name}@{sha[:12]}") for sha, name in named.items() if git("cat-file", "-t", sha).strip() == b"blob")
             contents = ((name, git("cat-file", "blob", sha)) for sha, name in found)
         else:
             paths = [p for p in git("ls-files", "-z").decode().split("\0") if p]
