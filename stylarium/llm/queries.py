@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, mips, mixing, neardup, packing, pii, suffix, toxicity
+from . import ann, langid, linededup, mips, mixing, neardup, packing, pii, repair, suffix, toxicity
 from .common import documents
 
 WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -61,6 +61,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", (F.col("n_shared") > 0).alias("has_shared"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damage=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +84,7 @@ QUERIES = {
         op8_mixing,
         op9_toxicity,
         op10_suffix_dedup,
+        op13_repair,
         pipeline,
     )
 }
@@ -131,4 +136,72 @@ WITH RECURSIVE w AS (
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM d
 """
 
-ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL}
+
+
+def repair_sql() -> str:
+    """The damage, the faults and a fold over each conversation's rows that holds the best repair by the last retained role.
+
+    Every state is a struct of cost, audit and text, compared in that order; the text follows from the audit.
+    """
+    say = {"u": "chr(10) || 'user:'", "a": "chr(10) || 'assistant:'"}
+    between = {"s": {"e": ""}, "u": {"e": "", "s": "", "u": "a", "a": ""}, "a": {"e": "u", "s": "u", "u": "", "a": "u"}}
+    new = {"e": "{'c': r.e.c + 2, 'a': r.e.a || 'D', 't': r.e.t}"}
+    for out, gaps in between.items():
+        options = [f"{{'c': r.{out}.c + 2, 'a': r.{out}.a || 'D', 't': r.{out}.t}}"]
+        for state, more in gaps.items():
+            fill = "".join(f" || {say[x]}" for x in more)
+            keep = f"x.fault NOT IN ('b', 'd') AND x.initial = '{out}'"
+            options.append(f"{{'c': CASE WHEN {keep} THEN r.{state}.c + {5 * len(more)} + x.extra END, 'a': r.{state}.a || '{'I' * len(more)}K', 't': r.{state}.t{fill} || chr(10) || x.role || ':' || x.text}}")
+            if out != "s":
+                reroll = f"x.fault NOT IN ('b', 'd') AND x.initial <> '{out}'"
+                options.append(f"{{'c': CASE WHEN {reroll} THEN r.{state}.c + {5 * len(more) + 1} + x.extra END, 'a': r.{state}.a || '{'I' * len(more)}R', 't': r.{state}.t{fill} || {say[out]} || x.text}}")
+        new[out] = f"list_sort(list_filter([{', '.join(options)}], lambda z: z.c IS NOT NULL))[1]"
+    none = "{'c': CAST(NULL AS BIGINT), 'a': '', 't': ''}"
+    bits = "list_reduce(list_prepend(xor(h, b), range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))"
+    return rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), k AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda z: CAST(ascii(z) AS BIGINT))),
+                            lambda h, b: {bits}), 4294967295) % 20 AS kind
+  FROM o
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM k WHERE kind <> 0
+), n AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS previous
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text), copy)
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault
+  FROM n
+), x AS (
+  SELECT *, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS extra FROM f
+), r AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS e, {none} AS s, {none} AS u, {none} AS a FROM o
+  UNION ALL
+  SELECT r.conv_id, x.i, {new['e']}, {new['s']}, {new['u']}, {new['a']}
+  FROM r JOIN x ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND x.i = r.i + 1
+), z AS (
+  SELECT conv_id, list_sort(list_filter([e, a, {{'c': u.c + 5, 'a': u.a || 'I', 't': u.t || {say['a']}}},
+                                         {{'c': s.c + 10, 'a': s.a || 'II', 't': s.t || {say['u']} || {say['a']}}}], lambda z: z.c IS NOT NULL))[1] AS best
+  FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM x GROUP BY 1
+)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, best.c AS cost, best.a AS audit,
+       sha256(substr(best.t, 2)) AS repaired_sha256
+FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL, "op13_repair": repair_sql()}
