@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, mips, mixing, neardup, packing, pii, repair, suffix, toxicity
+from . import ann, langid, linededup, mips, mixing, neardup, negatives, packing, pii, repair, suffix, tokencount, toxicity
 from .common import documents
 
-WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -61,6 +61,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", (F.col("n_shared") > 0).alias("has_shared"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, sf_dir), vocabulary(BYTE_VOCABULARY), limit=512)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), positives=5, negatives=5, anchor_every=100, scale=256, percent=80, label=label)
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damage=True)
 
@@ -84,6 +93,8 @@ QUERIES = {
         op8_mixing,
         op9_toxicity,
         op10_suffix_dedup,
+        op11_token_counts,
+        op12_hard_negatives,
         op13_repair,
         pipeline,
     )
@@ -204,4 +215,28 @@ FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id
 """
 
 
-ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL, "op13_repair": repair_sql()}
+#: Every anchor's inner product with every other row; the first of its label, then the first of other labels in each window.
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS anchor_id, q.label AS anchor_label, p.vec_id, p.label,
+         CAST(list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id % 100 = 0 AND q.vec_id <> p.vec_id AND len(q.v) = len(p.v)
+), p AS (
+  SELECT * FROM s WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor_label ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND n.anchor_label = p.anchor_label AND n.label <> n.anchor_label
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op7_exact_topk": OP7_SQL, "op12_hard_negatives": OP12_SQL, "op13_repair": repair_sql()}
