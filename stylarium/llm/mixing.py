@@ -1,11 +1,12 @@
 """Mixing sources to target weights (operator 8), DataFrame functions only: soft membership and projected gradient.
 
 Domains are the values of a labelled table. A naive Bayes model gives each
-document a posterior over domains, from five bucketed text features and from
-the hashed words that tell the domains apart, counted on at most SAMPLE_ROWS
-hash-chosen labelled rows of each domain.
-Posteriors are multiples of 1/GRID that add up to 1. Document rates r >= 0 then
-minimise
+document scores for the domains, from five bucketed text features and from
+the hashed words that tell the domains apart, counted on three quarters of at most SAMPLE_ROWS
+hash-chosen labelled rows of each domain. As dependent words make such scores
+too sure, a scale and a bias a domain are then fitted on the other quarter, by its likelihood with
+every domain weighed as in all labels: so mean posteriors are the domains' shares.
+Document rates r >= 0 then minimise
 
     1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / T_k + ridge/2 sum_d n_d (r_d - 1)^2
 
@@ -13,9 +14,8 @@ for n_d tokens, posteriors p_dk and targets T_k. At the minimum a rate is 1 less
 the document's share in a price for each domain, projected on r >= 0. Gradient
 steps go over the prices, scaled by the Gram matrix of the posteriors of
 documents with a positive rate; each takes one pass of sums over the table of
-different posteriors, whose size does not grow with the documents. They end when
-the gradient is under TOLERANCE, relative to the targets; if it never is, that is
-an error.
+posteriors. They end when the gradient is under TOLERANCE, relative to the targets; if it
+never is, that is an error.
 
 Edge cases: null text has no tokens, but features and a rate like any other.
 Null labels teach nothing; without labels there is one domain and all rates are
@@ -35,7 +35,8 @@ from .common import cut, scratch
 
 BUCKETS, SMOOTH, TEMPER, RIDGE = 6, 1.0, 0.8, 0.0001
 STEPS, TOLERANCE, LEAST = 100, 1e-6, 1e-4
-SLOTS, CLEAR, LEAST_ROWS, GRID = 1 << 16, 3.0, 3, 32  # of word hashes; standard errors; labelled rows; steps of a posterior
+SLOTS, CLEAR, LEAST_ROWS = 1 << 16, 3.0, 3  # of word hashes; standard errors; labelled rows
+KEPT_BACK, PULL = 4, 1.0  # one labelled row in so many calibrates; rows that the biases' squares weigh
 SAMPLE_ROWS = 4000  # labelled rows of each domain that the classifier is fitted on, chosen by hash
 FEATURES = ("f_length", "f_word", "f_upper", "f_odd", "f_lines")
 
@@ -100,14 +101,72 @@ def word_weights(rows: DataFrame, own: DataFrame, size: dict[str, int]) -> DataF
     return counts.where((every >= LEAST_ROWS) & (every < total) & told).select("slot", F.array(*logs).alias("w"))
 
 
-def posteriors(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], DataFrame]:
-    """Domains, and rows (doc_id, n_tokens) with p, the posterior in multiples of 1 / GRID."""
+def softmax(scores: Column) -> Column:
+    def shares(x: Column) -> Column:
+        e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
+        return F.transform(F.array(e), lambda y: F.transform(y, lambda v: v / F.aggregate(y, F.lit(0.0), lambda a, z: a + z)))[0]
+
+    return F.transform(F.array(scores), shares)[0]
+
+
+def calibrated(scores: Column, scale: float, bias: list[float]) -> Column:
+    """Posteriors of scores under a scale and a bias a domain."""
+    return softmax(F.zip_with(scores, vector(bias), lambda s, b: s * scale + b))
+
+
+def calibrate(rows: DataFrame, k: int, steps: int = 25) -> tuple[float, list[float], float]:
+    """Scale, biases and log loss of the likeliest fit to labelled rows (s, y, w), at most SAMPLE_ROWS a domain; by Newton's method."""
+
+    def sums(theta: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        p = calibrated(F.col("s"), theta[0], theta[1:])
+        at = rows.select("s", "w", "y", p.alias("p")).withColumn("m", dot(F.col("p"), F.col("s")))
+        w, m = F.col("w"), F.col("m")
+        one = [F.col("p")[i] for i in range(k)]
+        told = F.greatest(F.element_at("p", F.col("y") + 1), F.lit(1e-300))
+        got = at.agg(
+            F.sum(w).alias("w"),
+            F.count("*").alias("n"),
+            F.sum(-w * F.log(told)).alias("loss"),
+            F.sum(w * (m - F.element_at("s", F.col("y") + 1))).alias("g0"),
+            F.sum(w * (dot(F.col("p"), F.transform("s", lambda x: x * x)) - m * m)).alias("h0_0"),
+            *[F.sum(w * (one[i] - (F.col("y") == i).cast("double"))).alias(f"g{i + 1}") for i in range(k)],
+            *[F.sum(w * one[i] * (F.col("s")[i] - m)).alias(f"h0_{i + 1}") for i in range(k)],
+            *[F.sum(w * one[i] * (float(i == j) - one[j])).alias(f"h{i + 1}_{j + 1}") for i in range(k) for j in range(i, k)],
+        ).first()  # one row
+        if not got["w"]:
+            return 0.0, [0.0] * (k + 1), []
+        bias, pull = [0.0, *theta[1:]], PULL / got["n"]
+        loss = got["loss"] / got["w"] + pull / 2 * sum(b * b for b in bias)
+        grad = [got[f"g{i}"] / got["w"] + pull * bias[i] for i in range(k + 1)]
+        return loss, grad, [[got[f"h{min(i, j)}_{max(i, j)}"] / got["w"] + (pull if i == j else 0.0) for j in range(k + 1)] for i in range(k + 1)]
+
+    theta = [1.0] + [0.0] * k
+    loss, grad, curve = sums(theta)
+    for _ in range(steps if curve else 0):
+        if max(map(abs, grad)) < 1e-7:
+            break
+        move, part = solve(curve, grad), 1.0
+        while True:
+            new = [max(t - part * m, 1e-3) if i == 0 else t - part * m for i, (t, m) in enumerate(zip(theta, move, strict=True))]
+            tried = sums(new)
+            if tried[0] <= loss or part < 1e-3:
+                break
+            part /= 2
+        theta, (loss, grad, curve) = new, tried
+    return theta[0], theta[1:], loss
+
+
+def posteriors(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], DataFrame, dict]:
+    """Domains, rows (doc_id, n_tokens) with p, the posterior, and a report of the rows kept back: log loss and mean posteriors."""
     named = labels.where("domain is not null and doc_id is not null").select("doc_id", "domain").distinct()
+    share = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}  # one row a domain
     order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id")
     own = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).drop("r")
-    own = cut(own, "labelled")
+    back = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(KEPT_BACK)) == 0
+    own = cut(own.withColumn("back", back), "labelled")
+    taught = own.where("not back").drop("back")
     counts = (
-        rows.join(F.broadcast(own), "doc_id")  # at most sample_rows a domain
+        rows.join(F.broadcast(taught), "doc_id")  # at most sample_rows a domain
         .select("domain", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in FEATURES])).alias("x"))
         .groupBy("domain", "x.f", "x.b")
         .count()
@@ -116,7 +175,7 @@ def posteriors(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     )
     domains = sorted({r["domain"] for r in counts})
     if not domains:
-        return ["all"], rows.select("doc_id", "n_tokens", F.array(F.lit(1.0)).alias("p"))
+        return ["all"], rows.select("doc_id", "n_tokens", F.array(F.lit(1.0)).alias("p")), {}
     size = {d: sum(r["count"] for r in counts if r["domain"] == d) // len(FEATURES) for d in domains}
     logs = {(r["domain"], r["f"], r["b"]): r["count"] for r in counts}
     total = sum(size.values())
@@ -127,29 +186,23 @@ def posteriors(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             row = [math.log((logs.get((d, f, b), 0) + SMOOTH) / (size[d] + SMOOTH * BUCKETS)) for b in range(BUCKETS)]
             e = e + F.get(vector(row), F.col(f))
         sums.append(e)
-    weights = cut(word_weights(rows, own, size), "weights")
+    weights = cut(word_weights(rows, taught, size), "weights")
     # Only words with a weight go on; a document's sum is made where its words are, and only that is shuffled.
     found = rows.select("row", F.explode("slots").alias("slot")).join(F.broadcast(weights), "slot")  # at most SLOTS rows
     added = found.groupBy("row").agg(*[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(domains))])
     scores = F.array(*[s + F.coalesce(F.col(f"w{i}"), F.lit(0.0)) for i, s in enumerate(sums)])
-    scored = rows.drop("slots").join(added, "row", "left").select("doc_id", "n_tokens", scores.alias("s"))
-    top = F.array_max("s")
-    scored = scored.select("doc_id", "n_tokens", F.transform("s", lambda x: F.exp(x - top)).alias("e"))
-    p = F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y))
-    return domains, scored.select("doc_id", "n_tokens", gridded(p).alias("p"))
-
-
-def gridded(p: Column) -> Column:
-    """A distribution in multiples of 1 / GRID: rounded down, the rest to the greatest fractions, ties to the first."""
-
-    def spread(x: Column) -> Column:
-        low = F.transform(x, lambda v: F.floor(v * GRID))
-        rest = (F.lit(GRID) - F.aggregate(low, F.lit(0).cast("long"), lambda a, v: a + v)).cast("int")
-        order = F.array_sort(F.transform(x, lambda v, i: F.struct((F.floor(v * GRID) - v * GRID).alias("f"), i.alias("i"))))
-        more = F.transform(F.slice(order, F.lit(1), rest), lambda o: o["i"])
-        return F.transform(low, lambda v, i: (v + F.array_contains(more, i).cast("int")) / float(GRID))
-
-    return F.transform(F.array(p), spread)[0]
+    scored = cut(rows.drop("slots").join(added, "row", "left").select("doc_id", "n_tokens", scores.alias("s")), "scores")
+    y = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
+    kept = scored.join(F.broadcast(own.where("back")), "doc_id").select("s", y.alias("y"), "domain").where("y >= 0")
+    there = {r["domain"]: r["count"] for r in kept.groupBy("domain").count().collect()}
+    weigh = F.coalesce(*[F.when(F.col("domain") == d, float(share[d]) / n) for d, n in there.items()], F.lit(0.0))
+    kept = cut(kept.withColumn("w", weigh), "kept-back").coalesce(1)  # bounded by sample_rows a domain
+    scale, bias, loss = calibrate(kept, len(domains))
+    p = calibrated(F.col("s"), scale, bias)
+    means = kept.select("w", p.alias("p")).agg(*[(F.sum(F.col("w") * F.col("p")[i]) / F.sum("w")).alias(str(i)) for i in range(len(domains))]).first()
+    labelled = sum(share[d] for d in there) or 1
+    report = {"log_loss": loss, "scale": scale, "bias": bias, "mean_posterior": list(means), "label_share": [share[d] / labelled if d in there else 0.0 for d in domains]}
+    return domains, scored.select("doc_id", "n_tokens", p.alias("p")), report
 
 
 def solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -231,9 +284,9 @@ def mix(
     """
     with scratch(docs.sparkSession):
         rows = cut(featured(docs, id_col, text_col), "features")
-        domains, scored = posteriors(rows, labels)
+        domains, scored, quality = posteriors(rows, labels)
         scored = cut(scored, "posteriors", keep=True)
-    table = cut(scored.groupBy("p").agg(F.sum("n_tokens").alias("n")).coalesce(1), "mix")  # one row a point of the grid
+    table = scored.select("p", F.col("n_tokens").alias("n"))
     now = [float(x or 0) for x in table.agg(*[F.sum(F.col("n") * F.col("p")[i]) for i in range(len(domains))]).first()]
     size = sum(now) or 1.0
     if targets is None:
@@ -245,7 +298,7 @@ def mix(
     whole = sum(weight.values()) or 1.0
     goal = [size * weight[d] / whole for d in domains]
     prices, after, taken = fit(table, goal, ridge, tolerance, steps)
-    report = {"domains": domains, "targets": goal, "before": now, "after": after, "prices": prices, "steps": taken}
+    report = {"domains": domains, "targets": goal, "before": now, "after": after, "prices": prices, "steps": taken, "classifier": quality}
     at = F.array_position("p", F.array_max("p")).cast("int") - 1
     text_of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
     out = scored.select(
