@@ -39,21 +39,27 @@ def array_quantile(a: Column, q: float) -> Column:
 
 
 def style_features(
-    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), profile: Profile = CJK, lexicon: Column | None = None
+    docs: DataFrame,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    profile: Profile = CJK,
+    lexicon: Column | None = None,
+    words: Column | None = None,
 ) -> DataFrame:
     """The kept columns and the 20 features; empty texts are all zeros. Densities are per 100 characters of the whole text.
 
-    lexicon: an array of literary words. What several features share is its own
+    lexicon: an array of literary words; words: an array of the text's tokens by a segmenter, instead of the profile's. What several features share is its own
     projection below, so it is computed once a row.
     """
-    raw = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    own = tokens(F.coalesce(F.col(text), F.lit("")), profile) if words is None else words
+    raw = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"), own.alias("_words"))
     t = F.col("_t")
     rows = raw.select(
         *keep,
         "_t",
         F.length(t).alias("_n"),
         F.transform(sentences(t, profile), lambda s: F.length(s)).alias("_lens"),
-        tokens(t, profile).alias("_words"),
+        "_words",
         count_of(t, profile.punctuation).alias("_marks"),
         count_of(t, profile.native_digits).alias("_native"),
     )

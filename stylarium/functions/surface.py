@@ -11,31 +11,6 @@ from pyspark.sql import functions as F
 from .text import CJK, Profile, grams, only
 
 
-def pinc(candidate: Column, source: Column, n: int, profile: Profile = CJK) -> Column:
-    """Share of the candidate's gram occurrences that the source lacks; null where the candidate is shorter than n."""
-    mine, theirs = grams(only(candidate, profile.letters), n), F.array_distinct(grams(only(source, profile.letters), n))
-    both = F.array(F.struct(mine.alias("m"), theirs.alias("t")))
-    share = lambda x: F.when(
-        F.size(x["m"]) > 0, F.size(F.filter(x["m"], lambda g: ~F.array_contains(x["t"], g))).cast("double") / F.size(x["m"])
-    )
-    return F.transform(both, share)[0]
-
-
-def pinc_mean(candidate: Column, source: Column, most: int = 4, profile: Profile = CJK) -> Column:
-    parts = [pinc(candidate, source, n, profile) for n in range(1, most + 1)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p  # null if any is
-    return total / most
-
-
-def source_overlap(candidate: Column, source: Column, n: int, profile: Profile = CJK) -> Column:
-    """Share of the source's distinct grams that the candidate has; null where the source has none."""
-    s = F.array_distinct(grams(only(source, profile.letters), n))
-    c = F.array_distinct(grams(only(candidate, profile.letters), n))
-    return F.when(F.size(s) > 0, F.size(F.array_intersect(s, c)).cast("double") / F.size(s))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     either = F.size(F.array_union(a, b))
     return F.when(either > 0, F.size(F.array_intersect(a, b)).cast("double") / either).otherwise(F.lit(1.0))
@@ -111,11 +86,13 @@ def gram_table(df: DataFrame, key: str, source: str, output: str, orders: tuple[
     """key, n and counts of the letter grams of a pair: total (the output's occurrences), novel (those the source lacks),
     shared (distinct ones of both), distinct (the source's distinct ones), clipped (occurrences matched one by one).
 
-    Grams are counted by one hash aggregation, so long texts take time in proportion.
+    Texts are dealt by key once, and grams counted where their pair is: no gram is shuffled. Within a pair they are
+    told apart by 64-bit hashes.
     """
     letters = lambda c: only(F.coalesce(F.col(c), F.lit("")), profile.letters)
-    sides = df.select(key, F.explode(F.array(F.struct(F.lit(0).alias("side"), letters(source).alias("t")), F.struct(F.lit(1).alias("side"), letters(output).alias("t")))).alias("x"))
-    named = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+    dealt = df.select(key, letters(source).alias("s"), letters(output).alias("o")).repartition(key)
+    sides = dealt.select(key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("t")), F.struct(F.lit(1).alias("side"), F.col("o").alias("t")))).alias("x"))
+    named = lambda n: lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g"))
     many = F.flatten(F.array(*[F.transform(grams(F.col("x.t"), n), named(n)) for n in orders]))
     each = sides.select(key, F.col("x.side").alias("side"), F.explode(many).alias("y")).groupBy(key, "y.n", "y.g")
     counts = each.agg(F.sum(1 - F.col("side")).alias("s"), F.sum("side").alias("o"))

@@ -115,13 +115,7 @@ def grams(t: Column, n: int) -> Column:
     """All n-character windows, in order; none for a shorter text."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    # The characters are bound once; a window is a slice of them, whatever its place.
-    none = F.array().cast("array<string>")
-    cut = lambda c: F.when(
-        F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), ""))
-    ).otherwise(none)
-    chars = F.when(F.length(t) > 0, F.split(t, "")).otherwise(none)
-    return F.flatten(F.transform(F.array(chars), cut))
+    return F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))  # one pass: each match is empty and looks ahead
 
 
 def windows(t: Column, n: int = 12, profile: Profile = CJK) -> Column:

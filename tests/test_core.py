@@ -56,11 +56,13 @@ def test_lexicon(spark):
 
 
 def test_surface(spark):
-    p = lambda a, b, n: one(spark, surface.pinc(F.lit(a), F.lit(b), n))
-    assert abs(p("甲甲丙丙丙", "甲乙", 1) - 0.6) < 1e-9
-    assert p("甲乙", "甲甲丙丙丙", 1) == 0.5
-    assert p("甲", "甲乙", 2) is None and p("甲乙", "甲", 2) == 1
-    assert p("甲，乙1", "甲乙", 2) == 0
+    texts = [("甲甲丙丙丙", "甲乙"), ("甲乙", "甲甲丙丙丙"), ("甲", "甲乙"), ("甲乙", "甲"), ("甲，乙1", "甲乙"), ("甲乙", "甲乙丙")]
+    p = surface.gram_measures(spark.createDataFrame([(i, s, o) for i, (o, s) in enumerate(texts)], "id int, s string, o string"), "id", "s", "o", (1, 2)).orderBy("id").collect()
+    assert abs(p[0]["pinc1"] - 0.6) < 1e-9
+    assert p[1]["pinc1"] == 0.5
+    assert p[2]["pinc2"] is None and p[3]["pinc2"] == 1
+    assert p[4]["pinc2"] == 0
+    assert p[5]["overlap2"] == 0.5
     assert one(spark, surface.text_similarity(F.lit("tide"), F.lit("diet"))) == 0.5
     pairs = spark.createDataFrame([(1, "甲，乙", "甲乙"), (2, "甲", ""), (3, "甲乙丙丁戊", "甲乙丙丁己")], "id int, s string, o string")
     got = {r["id"]: r for r in surface.gram_measures(pairs, "id", "s", "o").collect()}
@@ -462,7 +464,6 @@ def test_small_parts(spark, tmp_path):
     words = F.array(F.lit("颂莲"), F.lit("来"))
     assert abs(one(spark, fidelity.proper_density(words, F.lit("颂莲来"), F.array(F.lit("颂莲")))) - 2 / 3) < 1e-9
     assert one(spark, surface.contained_terms(F.lit("abc"), F.array(F.lit("bc"), F.lit("x"), F.lit("a")))) == ["a", "bc"]
-    assert one(spark, surface.source_overlap(F.lit("甲乙"), F.lit("甲乙丙"), 2)) == 0.5
     assert one(spark, surface.exemplar_copy_ratio(F.lit("abcd"), F.array(F.lit("abcd"), F.lit("x")))) == 1.0
     assert plugins.utc_clock().endswith("Z") and plugins.monotonic_clock() > 0
     assert one(spark, plugins.message_characters(F.array(agent.message("user", F.lit("abc"))))) == 3
