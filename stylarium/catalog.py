@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import style, surface, text
 from .functions.text import LATIN
-from .operators import agent, leak, lexicon, retrieval, sampling, stats
+from .operators import agent, leak, lexicon, postings, products, retrieval, sampling, stats
 from .sources.tables import written
 
 QUERIES: dict = {}
@@ -164,7 +164,7 @@ BM25_CTE = f"""d AS (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS w FROM
 
 
 def bm25_route(spark, sf_dir, k):
-    return retrieval.ranked(retrieval.bm25_scores(_docs(spark, sf_dir), _asked(spark, sf_dir)), k)
+    return postings.search(postings.index(_docs(spark, sf_dir)), _asked(spark, sf_dir), k)[0]
 
 
 @query(f"WITH {BM25_CTE} SELECT query_id, id, rank, round(score, 6) AS score FROM bmr WHERE rank <= 10")
@@ -186,7 +186,7 @@ def centres(spark, sf_dir):
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 20""")
 def m01_dense_cosine(spark, sf_dir):
     docs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rounded(retrieval.ranked(retrieval.cosine_scores(docs, centres(spark, sf_dir)), 20), "query_id", "id", "rank")
+    return rounded(products.nearest(docs, written(centres(spark, sf_dir), "centres"), 20), "query_id", "id", "rank")
 
 
 L2_CTE = f"""{Z_CTE}, zl AS (SELECT source, unnest(z) AS x, unnest(range(20)) AS i FROM zs), zc AS (SELECT source AS query_id, list(m ORDER BY i) AS q FROM (SELECT source, i, avg(x) AS m FROM zl GROUP BY ALL) GROUP BY 1),
@@ -195,9 +195,10 @@ L2_CTE = f"""{Z_CTE}, zl AS (SELECT source, unnest(z) AS x, unnest(range(20)) AS
 
 @query(f"WITH {L2_CTE} SELECT query_id, id, rank, round(score, 6) AS score FROM lr WHERE rank <= 20")
 def m02_style_l2(spark, sf_dir):
-    z = z_table(spark, sf_dir)
+    z = written(z_table(spark, sf_dir), "z")
     q = z.groupBy("source").agg(F.array(*[F.avg(F.col("z")[i]) for i in range(20)]).alias("q")).withColumnRenamed("source", "query_id")
-    return rounded(retrieval.ranked(retrieval.l2_scores(z.select(F.col("doc_id").alias("id"), F.col("z").alias("v")), q), 20), "query_id", "id", "rank")
+    z, q = z.select(F.col("doc_id").alias("id"), F.col("z").alias("v")), written(q, "centres")
+    return rounded(products.nearest(z, q, 20, "l2"), "query_id", "id", "rank")
 
 
 @query(f"""WITH {BM25_CTE}, sh AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dl, id) AS INTEGER) AS rank FROM bmr JOIN (SELECT doc_id AS id, length(text) AS dl FROM documents) USING (id)),

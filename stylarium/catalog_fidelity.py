@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .catalog import GRAM_CTE, PAIRS_SQL, TOKENS_SQL, pairs, query, rounded, table
 from .functions import fidelity, numerals, style, surface, text
 from .functions.text import LATIN
-from .operators import agent, chunking, gates, lexicon, retrieval, sampling, stats
+from .operators import agent, chunking, gates, lexicon, postings, retrieval, sampling, stats
 from .sources import records, vectors
 from .sources.tables import shared_dir
 
@@ -401,7 +401,7 @@ def j05_bm25_exclude_self(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     own = asked.select("query_id", F.col("query_id").alias("id"))
-    return rounded(retrieval.ranked(retrieval.bm25_scores(docs, asked, ("the", "la", "die")), 10, own), "query_id", "id", "rank", digits=4)
+    return rounded(postings.search(postings.index(docs, ("the", "la", "die")), asked, 10, own)[0], "query_id", "id", "rank", digits=4)
 
 
 @query("""WITH h AS (SELECT item_id AS query_id, r AS rank, CASE WHEN item_id % 5 = 0 AND r = 3 THEN 1 ELSE r END AS id FROM benchmark, range(1, 4) t(r) WHERE NOT (item_id % 7 = 0 AND r = 2)) SELECT query_id FROM h GROUP BY 1 HAVING max(rank) <> count(*) OR count(DISTINCT rank) <> count(*) OR count(DISTINCT id) <> count(*)""")

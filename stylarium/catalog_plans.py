@@ -12,7 +12,7 @@ from .catalog import BM25_CTE, DIFF_SQL, PAIRS_SQL, REFERENCE_SQL, TOKENS_SQL, _
 from .catalog_fidelity import COUNTED_SQL, DIMS, FACTS_CTE, counted_pairs, pick, pick_sql
 from .functions import style, surface, text
 from .functions.text import LATIN
-from .operators import agent, gates, retrieval, sampling, stats
+from .operators import agent, gates, sampling, stats
 from .plans import evaluation, experiments, loop, retrieval_plan
 from .sources.tables import written
 
@@ -258,18 +258,12 @@ def m05_hybrid_search(spark, sf_dir):
     the style prediction is half of the query's own z."""
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     both = d.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(q.select(F.lit("q").alias("kind"), F.col("item_id").alias("id"), "text"))
-    f = written(style.style_features(both, "text", ("kind", "id"), LATIN), "features")
+    f = written(style.style_features(both, "text", ("kind", "id", "text"), LATIN), "features")
     z = style.z_scores(f, style.fit_reference(f.where("kind = 'd'")))
-    own = q.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    half = F.transform("z", lambda x: 0.5 * x)
-    routes = {
-        "bm25": retrieval.bm25_scores(d.select(F.col("doc_id").alias("id"), "text"), q.select(F.col("item_id").alias("query_id"), "text")),
-        "dense": retrieval.cosine_scores(v, v.join(own, "id").select("query_id", F.col("v").alias("q"))),
-        "style": retrieval.l2_scores(z.where("kind = 'd'").select("id", F.col("z").alias("v")), z.where("kind = 'q'").select(F.col("id").alias("query_id"), half.alias("q"))),
-    }
-    hits = written(retrieval_plan.route_hits(routes, 20, own), "hits")
-    out = retrieval_plan.fuse_all(hits, retrieval_plan.config_table(spark, retrieval_plan.CONFIGS))
+    rows = written(z.join(v, "id", "left"), "vectors")
+    docs, asked = rows.where("kind = 'd'").drop("kind"), rows.where("kind = 'q'").select(F.col("id").alias("query_id"), "text", F.col("v").alias("q"), "z")
+    out = retrieval_plan.hybrid_search(docs, asked, lambda z: F.transform(z, lambda x: 0.5 * x))
     told = F.array_join(F.transform(F.array_sort(F.map_entries("sources")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
     return out.select("config", "query_id", "id", "rank", "score", told.alias("sources"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.filters import MOST_BITS, filter_of, may_hold
 from ..functions.text import CJK, Profile, grams, letters_length, only, short_hash, windows
 from ..sources.tables import written
 
@@ -13,40 +14,6 @@ def source_windows(sources: DataFrame, text: str, kind: str, n: int = 12, profil
     return sources.select(F.explode(windows(F.col(text), n, profile)).alias("w"), F.lit(kind).alias("kind")).distinct()
 
 
-MOST_BITS, BITS_EACH, PROBES = 1 << 23, 16, 4  # of a filter, at most a megabyte; of it for each window; bits of a window
-
-
-def window_filter(sources: DataFrame, most_bits: int = MOST_BITS) -> tuple[list[int], int]:
-    """A Bloom filter of the protected windows as 64-bit words, and its number of bits.
-
-    Its size is bounded whatever the number of windows; past most_bits / BITS_EACH of them it lets more pass, which the
-    join behind it drops.
-    """
-    n = sources.select("w").distinct().count()
-    bits = 1 << max(6, min(most_bits, max(1, n * BITS_EACH)).bit_length() - 1)
-    place = F.explode(F.array(*places(F.xxhash64("w"), bits)))
-    marked = sources.select(place.alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("i"))
-    words = [0] * (bits // 64)
-    for r in marked.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("x")).toLocalIterator():  # at most bits / 64 rows
-        words[r["i"]] = r["x"]
-    return words, bits
-
-
-def places(h: Column, bits: int) -> list[Column]:
-    """The PROBES bits of a hash."""
-    step = F.shiftrightunsigned(h, 32)
-    return [(h + step * i).bitwiseAND(F.lit(bits - 1).cast("long")) for i in range(PROBES)]
-
-
-def may_hold(words: list[int], bits: int, h: Column) -> Column:
-    """Whether the filter may hold a hash: false only if it does not."""
-    known = F.from_json(F.lit(str(words)), "array<bigint>")  # folded to one literal
-    out = F.lit(True)
-    for at in places(h, bits):
-        out = out & (F.getbit(F.get(known, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
-    return out
-
-
 def leak_hits(scanned: DataFrame, sources: DataFrame, location: str, text: str, n: int = 12, profile: Profile = CJK, most_bits: int = MOST_BITS) -> DataFrame:
     """location, line, kind, count, hashes: windows of each whole text that are in sources, by the line they start in.
 
@@ -56,10 +23,10 @@ def leak_hits(scanned: DataFrame, sources: DataFrame, location: str, text: str,
     """
     t = F.coalesce(F.col(text), F.lit(""))
     sources = written(sources, "windows")
-    words, bits = window_filter(sources, most_bits)
+    held = filter_of(sources.select(F.xxhash64("w").alias("h")), most_bits)
     own = sources.select(F.xxhash64("w").alias("key"), F.col("w").alias("own"), "kind")
     rows = scanned.select(F.col(location).alias("_loc"), F.posexplode(grams(only(t, profile.letters), n)).alias("at", "w"))
-    rows = rows.withColumn("key", F.xxhash64("w")).where(may_hold(words, bits, F.col("key")))
+    rows = rows.withColumn("key", F.xxhash64("w")).where(may_hold(held, F.col("key")))
     hits = rows.join(own, "key").where("w = own").select("_loc", "at", "kind", short_hash(F.col("w")).alias("h"))
     hits = written(hits, "leaks")
     lines = (
