@@ -474,7 +474,7 @@ def s08_cache_problems(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), "embedding")
     vectors.write_cache(rows.where("id % 10 <> 1"), path, "model", "r1", 64, 512)
     asked = rows.where("id % 10 <> 2").withColumn("text", F.when(F.col("id") % 10 == 3, "other").otherwise(F.col("text")))
-    return vectors.cache_problems(spark.read.parquet(path), asked, model_id="model", revision="r2", dim=64, max_length=512).select("problem", "n")
+    return vectors.cache_problems(vectors.load(spark, path), asked, model_id="model", revision="r2", dim=64, max_length=512).select("problem", "n")
 
 
 @query("SELECT item_id AS query_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM benchmark JOIN embeddings ON vec_id = item_id")
@@ -485,7 +485,7 @@ def s10_query_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     vectors.write_cache(b.join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("id"), "text", "embedding"), path, "model", "r1", 64, 512)
     vectors.write_cache(e.select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("text"), "embedding"), index, "model", "r1", 64, 512)
-    got = vectors.query_vectors(b.select(F.col("item_id").alias("query_id"), "text"), spark.read.parquet(path), spark.read.parquet(index))
+    got = vectors.query_vectors(b.select(F.col("item_id").alias("query_id"), "text"), vectors.load(spark, path), vectors.load(spark, index))
     return got.select("query_id", F.round(style.array_sum(F.col("q")), 6).alias("total"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import load, publish
+
 #: What a cache was made with; a reader must ask for the same.
 PROVENANCE = ("model_id", "revision", "dim", "max_length")
 
@@ -20,7 +22,10 @@ def finite(v: Column) -> Column:
 
 
 def write_cache(rows: DataFrame, path: str, model_id: str, revision: str, dim: int, max_length: int) -> None:
-    """rows: id, text, embedding. Writes id, text_sha256, embedding and the provenance; bad vectors and repeated ids are errors."""
+    """rows: id, text, embedding. Publishes id, text_sha256, embedding and the provenance as the next version of a cache.
+
+    Bad vectors and repeated ids are errors, and leave the version before as it is.
+    """
     good = F.when((F.size("embedding") == dim) & finite(F.col("embedding")), F.col("embedding")).otherwise(F.raise_error(F.lit("a vector of the wrong size, not finite, or zero")))
     out = rows.select(
         "id", F.sha2("text", 256).alias("text_sha256"), good.alias("embedding"),
@@ -29,7 +34,7 @@ def write_cache(rows: DataFrame, path: str, model_id: str, revision: str, dim: i
     twice = rows.groupBy("id").count().where("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"ids repeat: {[r['id'] for r in twice]}")
-    out.write.mode("overwrite").parquet(path)
+    publish(out, path, {"model_id": model_id, "revision": revision, "dim": dim, "max_length": max_length})
 
 
 def cache_problems(cache: DataFrame, rows: DataFrame, **asked) -> DataFrame:
@@ -48,7 +53,7 @@ def cache_problems(cache: DataFrame, rows: DataFrame, **asked) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str, rows: DataFrame, **asked) -> DataFrame:
     """id, embedding of a cache that stands for rows; otherwise an error that lists every mismatch."""
-    cache = spark.read.parquet(path)
+    cache = load(spark, path)
     problems = cache_problems(cache, rows, **asked).orderBy("problem").collect()  # a row a kind
     if problems:
         raise ValueError("; ".join(f"{r['problem']}: {r['n']}, as {r['example']}" for r in problems))
