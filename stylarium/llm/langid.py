@@ -32,7 +32,6 @@ from .common import bound_batches, lean
 
 SAMPLE_DOCS = 300  # labelled rows a language that the model is fitted on
 SAMPLE_CHARS = 5_000_000  # and characters a language, beyond its first row
-LONGEST = 12  # characters of a piece
 PART = 60  # letters of a word that are learned from at once
 WORDS_AT_ONCE, CELLS_AT_ONCE = 20_000, 100_000  # of a lattice that is worked on at once
 SLICE, KNOWN_WORDS, KNOWN_LETTERS = 1_000_000, 200_000, 4_000_000  # characters split at once; words remembered
@@ -47,7 +46,7 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     words = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    words = {w.lower() for w in words if len(w) <= LONGEST + 1 and WORD.fullmatch(w.removeprefix(PIECE_START) or "a")}
+    words = {w.lower() for w in words if WORD.fullmatch(w.removeprefix(PIECE_START) or "a")}
     return sorted(words - {"", PIECE_START})
 
 
@@ -57,6 +56,7 @@ class Trie:
     def __init__(self, pieces: dict[str, int]) -> None:
         edges: dict[int, int] = {}
         ends = {0: -1}
+        self.longest = max((len(p.removeprefix(PIECE_START)) for p in pieces), default=1)  # letters of a piece
         for piece, p in pieces.items():
             node = 0
             for c in piece:
@@ -95,9 +95,9 @@ def lattice(words: list[str], trie: Trie, unknown: int) -> tuple[np.ndarray, np.
     place, at = place[have], at[have] + 1
     found = []
     marked = start == 0
-    for _ in range(LONGEST + 1):
+    for _ in range(trie.longest + 1):
         length = at - (ends - sizes)[word[place]] - start[place]
-        full = (trie.piece[node] >= 0) & (length > 0) & (length <= LONGEST)
+        full = (trie.piece[node] >= 0) & (length > 0)
         found.append((place[full], length[full], trie.piece[node[full]]))
         single[place[full & (length == 1)]] = False
         inside = at < ends[word[place]]
@@ -109,7 +109,7 @@ def lattice(words: list[str], trie: Trie, unknown: int) -> tuple[np.ndarray, np.
     alone = np.flatnonzero(single)
     found.append((alone, np.ones(len(alone), np.int64), np.full(len(alone), unknown)))
     place, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(place * (LONGEST + 1) + length, kind="stable")
+    order = np.argsort(place * (trie.longest + 1) + length, kind="stable")
     place, length, piece = place[order], length[order], piece[order]
     return word[place], start[place], start[place] + length, piece
 
@@ -148,7 +148,7 @@ def forward(words: list[str], index: Trie | dict[str, int], table: np.ndarray) -
             if len(at):
                 alpha[w[a:b][at], t] = np.add.reduceat(alpha[w[a:b], i[a:b]] * table[p[a:b]], at, axis=0)
             if t % 24 == 0:  # long words: keep the numbers in range
-                near = alpha[:, max(0, t - LONGEST) : t + 1]
+                near = alpha[:, max(0, t - trie.longest) : t + 1]
                 top = near.max(axis=(1, 2))
                 top = np.where(top > 0, top, 1)
                 near /= top[:, None, None]
@@ -292,28 +292,37 @@ def scorer(langs: list[str], table, pieces, least: float | None = None):
     return lean(run)
 
 
-def _model(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, lang_col: str, folds: int):
+def _model(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, lang_col: str, folds: int, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS):
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 1, F.lit(False)))
     pieces = vocabulary(vocabulary_path)
-    langs, table = learn(rows, pieces)
+    langs, table = learn(rows, pieces, sample_docs, sample_chars)
     send = spark.sparkContext.broadcast
     return rows, langs, send(table), send(pieces)
 
 
 def identify(
-    docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3
+    docs: DataFrame,
+    vocabulary_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    folds: int = 3,
+    sample_docs: int = SAMPLE_DOCS,
+    sample_chars: int = SAMPLE_CHARS,
 ) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
-    rows, langs, table, pieces = _model(docs, vocabulary_path, id_col, text_col, lang_col, folds)
+    rows, langs, table, pieces = _model(docs, vocabulary_path, id_col, text_col, lang_col, folds, sample_docs, sample_chars)
     return rows.select("doc_id", "held_out", "text").mapInPandas(
         scorer(langs, table, pieces), "doc_id long, held_out boolean, lang_pred string, score double"
     )
 
 
-def keep_identified(docs: DataFrame, vocabulary_path: str, least: float = 0.0, lang_col: str = "lang") -> DataFrame:
+def keep_identified(
+    docs: DataFrame, vocabulary_path: str, least: float = 0.0, lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """The rows of docs that are in a learned language, found with at least this score, with all their columns."""
-    _, langs, table, pieces = _model(docs, vocabulary_path, "doc_id", "text", lang_col, 3)
+    _, langs, table, pieces = _model(docs, vocabulary_path, "doc_id", "text", lang_col, 3, sample_docs, sample_chars)
     return docs.mapInPandas(scorer(langs, table, pieces, least), docs.schema)

@@ -49,7 +49,7 @@ WIDE = {
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+(?::[0-9]{2,5})?|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){5,7}+)",
     "card": r"(?<![0-9])[0-9]{4}[ .-]?[0-9]{4,6}[ .-]?[0-9]{4,5}[ .-]?[0-9]{1,4}",
     "phone": r"(?<![0-9])[+(]?[0-9]{2,4}[) .-]{1,2}[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?",
-    "secret": rf"(?<!{SIGNS})(?=[0-9_+/=-]*+[A-Za-z])(?=[A-Za-z_+/=-]*+[0-9]){SIGNS}{{16,512}}+",
+    "secret": rf"(?<!{SIGNS})(?=[0-9_+/=-]*+[A-Za-z])(?=[A-Za-z_+/=-]*+[0-9]){SIGNS}{{16,}}+",
 }
 #: Words that announce a kind, right before a candidate.
 ANNOUNCED = {

@@ -642,3 +642,18 @@ def test_pipeline_odd(spark, odd, nothing, tmp_path):
             rows = out.collect()
             assert n == 0 or rows == []
             assert name == "pack_sequences" or out.columns == table.columns
+
+
+def test_whole_pieces_and_whole_secrets(spark):
+    """A piece of twenty letters is an edge like any other, and a token of two thousand signs is one span."""
+    long = "abcdefghijklmnopqrst"
+    index = {"▁" + long: 0, long: 1} | {c: 2 + i for i, c in enumerate(sorted(set(long)))}
+    table = np.full((len(index) + 1, 1), 1e-3)
+    table[0] = 0.5
+    log = langid.forward([long, long + long], index, table)[:, 0]
+    assert abs(log[0] - np.log(0.5 + 0)) < 0.01 and abs(log[1] - np.log(0.5 * 1e-3)) < 0.01
+    assert any(len(w) > 13 for w in langid.vocabulary(queries.vocabulary(queries.PIECE_VOCABULARY)))
+    sign = "aB3" * 667
+    text = f"The token: {sign} is mine."
+    found = spark.createDataFrame([(1, text)], "doc_id long, text string").select(pii.placed(F.col("text"), pii.WIDE["secret"]).alias("x")).first()["x"]
+    assert [(r[0], r[1]) for r in found] == [(11, 11 + len(sign))]
