@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What written() makes inside goes at the end, so results must be collected or written by then; scopes may be nested.
+
+    Without a scope, tables belong to the owner of spark.checkpoint.dir.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df from a table, so that what reads it twice works it out once; the table belongs to the folder's owner."""
+    """df from a table, so that what reads it twice works it out once, and a lost executor does not work it out again."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -242,7 +242,7 @@ def test_vectors(spark, tmp_path):
         vectors.read_cache(spark, str(tmp_path / "c"), rows, model_id="x")
     with pytest.raises(Exception, match="zero"):
         vectors.write_cache(rows.withColumn("embedding", F.array(F.lit(0.0), F.lit(0.0))), str(tmp_path / "d"), "m", "r", 2, 8)
-    cache = spark.read.parquet(str(tmp_path / "c"))
+    cache = vectors.load(spark, str(tmp_path / "c"))
     with pytest.raises(Exception, match="no vector"):
         vectors.query_vectors(spark.createDataFrame([(1, "other")], "query_id int, text string"), cache, cache).collect()
     asked = spark.createDataFrame([(1, "k"), (2, "l"), (3, "l")], "id int, key string")
