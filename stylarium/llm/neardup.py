@@ -8,10 +8,12 @@ register, and sizes near the border by both.
 
 Rows of equal sets are one class before anything else. Classes that share a
 band key are candidates. In each star round every bucket compares its members
-with one pseudo-random member, so that large groups of near copies merge
-without all pairs; then all pairs of a bucket that lie in different components
-are compared, in blocks of bounded size, by corrected register estimates, and
-confirmed on full sets. Links inside a component are never needed.
+with one pseudo-random member by corrected register estimates, confirmed on full sets, so that large
+groups of near copies merge without all pairs. Members of buckets that still
+hold several components then meet their bucket's centre once, and keep only the
+shingles in which they differ from it; those, in blocks of bounded size, decide
+every pair of different components exactly. Links inside a component are never
+needed.
 
 Edge cases: null text, and text without words, has the empty set, n_shingles 0,
 and is linked with nothing; fewer than k words give one shingle, the whole
@@ -36,7 +38,7 @@ from .common import ByteHasher, bound_batches, components, cut, lean, mix64, scr
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 36, 7, 10
 FEW = 256  # shingles up to which each register has a permutation of its own
 EMPTY = 0xFFFF
-BLOCK = 256
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 4 << 20, 4096  # members and bytes of a block; columns of a product
 PIECE = 1 << 19  # bytes hashed at once
 GAP = re.compile(rb"[\x20\x09-\x0d]")
 WHITE = np.zeros(256, bool)
@@ -188,50 +190,64 @@ def screener(least: float):
     return run
 
 
-def _near(one: pd.DataFrame, two: pd.DataFrame, least: float) -> dict[tuple[int, int], float]:
-    """The pairs of two blocks in different components whose estimate may reach the threshold."""
-    ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
-    pairs: dict[tuple[int, int], float] = {}
-    for kind in ("many", "few"):
-        (ha, xa), (hb, xb) = _tables(one[kind]), _tables(two[kind])
-        for i in np.flatnonzero(ha):
-            j = np.flatnonzero(hb & (cb != ca[i]))
-            if len(j):
-                e = estimate(xa[i][None, :], xb[j])
-                pairs.update({(int(i), int(q)): float(v) for q, v in zip(j[e >= least], e[e >= least], strict=True)})
-    return pairs
-
-
-def sifter(least: float):
-    """Of two blocks of a bucket the members that may have a link to another component: only their texts are fetched."""
+def differ(k: int):
+    """The shingles in which a member and its centre differ: with both sizes they hold all that is asked of the full sets."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = ByteHasher()
+        last, centre = None, np.zeros(0, np.uint64)
         for pdf in it:
-            for r in pdf.itertuples():
-                one, two = pd.DataFrame(list(r.x)), pd.DataFrame(list(r.y))
-                if pairs := _near(one, two, least):
-                    for side, frame in ((0, one), (1, two)):
-                        nodes = frame["node"].to_numpy()[sorted({p[side] for p in pairs})]
-                        yield pd.DataFrame({"key": r.key, "block": r.block, "other": r.other, "side": side, "node": nodes})
+            size, delta = [], []
+            for i in range(0, len(pdf), 64):
+                part = pdf.iloc[i : i + 64]
+                for at, text, s in zip(part["centre"], part["centre_text"], shingles(list(part["text"]), k, hasher), strict=True):
+                    if at != last:  # rows come sorted by centre
+                        last, centre = at, shingles([text], k, hasher)[0]
+                    size.append(len(s))
+                    delta.append(np.setxor1d(s, centre, assume_unique=True).tobytes())
+            yield pd.DataFrame({"centre": pdf["centre"], "node": pdf["node"], "comp": pdf["comp"], "main": pdf["main"], "size": size, "delta": delta})
 
     return lean(run)
 
 
-def crosser(least: float, k: int, percent: int):
-    """Links of two blocks of a bucket between different components: estimates screen the pairs, full sets confirm them.
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one shares with each of two; a set has no element twice."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (one, two)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(one), len(two)), np.int64)
+    if not len(both):
+        return out
+    places = []
+    for values, rows in sides:
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        hit = both[at] == values
+        places.append((rows[hit], at[hit]))
+    for low in range(0, len(both), COLUMNS):
+        a, b = (np.zeros((len(x), COLUMNS), np.float32) for x in (one, two))
+        for m, (rows, at) in zip((a, b), places, strict=True):
+            here = (at >= low) & (at < low + COLUMNS)
+            m[rows[here], at[here] - low] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
 
-    Pairs go by falling estimate, and those that links found before them have joined are left out.
+def crosser(percent: int):
+    """Links of two blocks of a family between different components, exact from the members' differences to one centre.
+
+    With d the differences of a set to the centre, two sets differ in |d| + |e| - 2 |d and e| shingles. Pairs go by falling
+    similarity, and those that links found before them have joined are left out.
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = ByteHasher()
         for pdf in it:
             for r in pdf.itertuples():
-                every = pd.DataFrame(list(r.x))
-                one, two = (every[every["side"] == s].reset_index(drop=True) for s in (0, 1))
-                pairs = _near(one, two, least)
-                sets = [shingles(list(frame["text"]), k, hasher) for frame in (one, two)]
-                ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
+                one, two = pd.DataFrame(list(r.x)), pd.DataFrame(list(r.y))
+                sets = [[np.frombuffer(v, np.uint64) for v in frame["delta"]] for frame in (one, two)]
+                (ca, sa), (cb, sb) = ((frame["comp"].to_numpy(), frame["size"].to_numpy()) for frame in (one, two))
+                da, db = (np.array([len(v) for v in x]) for x in sets)
+                total = sa[:, None] + sb[None, :]
+                both = (total - da[:, None] - db[None, :]) // 2 + _shared(*sets)
+                i, j = np.nonzero((ca[:, None] != cb[None, :]) & (100 * both >= percent * (total - both)))
                 root: dict[int, int] = {}
 
                 def find(c: int, root: dict[int, int] = root) -> int:
@@ -240,14 +256,11 @@ def crosser(least: float, k: int, percent: int):
                     return c
 
                 links = []
-                for i, j in sorted(pairs, key=lambda p: (-pairs[p], p)):
-                    x, y = find(int(ca[i])), find(int(cb[j]))
+                for n in np.argsort(-(both[i, j] / (total[i, j] - both[i, j])), kind="stable"):
+                    x, y = find(int(ca[i[n]])), find(int(cb[j[n]]))
                     if x != y:
-                        s, t = sets[0][i], sets[1][j]
-                        both = len(np.intersect1d(s, t, assume_unique=True))
-                        if 100 * both >= percent * (len(s) + len(t) - both):
-                            root[max(x, y)] = min(x, y)
-                            links.append((one["node"][i], two["node"][j]))
+                        root[max(x, y)] = min(x, y)
+                        links.append((one["node"][i[n]], two["node"][j[n]]))
                 if links:
                     ids = np.array(links, np.int64)
                     yield pd.DataFrame({"a": ids.min(axis=1), "b": ids.max(axis=1)})
@@ -273,7 +286,7 @@ def verifier(k: int, percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, star_rounds: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, star_rounds: int = 2
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     with scratch(docs.sparkSession):
@@ -341,25 +354,35 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
         links = links.union(new)
         with scratch(docs.sparkSession):
             labels = cut(components(links), "labels", keep=True)
-    named = buckets.join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    # Buckets that hold several components still go to families, a centre and all members of its buckets: neighbouring
+    # buckets mostly share their centre, so that a pair meets a few times and not once a bucket.
+    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = (
+        named.groupBy("key")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(0))).alias("c"))
+        .where("lo < hi")
+        .select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("home"))
+    )
+    family = named.join(open_, "key").select("centre", "node", "comp", (F.col("comp") == F.col("home")).alias("main")).distinct()
+    deltas = cut(
+        family.join(texts.hint("merge"), "node")
+        .join(texts.toDF("centre", "centre_text").hint("merge"), "centre")
+        .mapInPandas(differ(k), "centre long, node long, comp long, main boolean, size long, delta binary"),
+        "deltas",
+    )
+    counts = deltas.groupBy("centre", "main").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("delta")) / BLOCK_BYTES)).alias("n"))
     blocks = cut(
-        named.join(open_, "key")
-        .join(regs, "node")
-        .groupBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block"))
-        .agg(F.collect_list(F.struct("node", "comp", "many", "few")).alias("x")),  # about BLOCK
+        deltas.join(counts, ["centre", "main"])
+        .groupBy("centre", "main", F.pmod(F.xxhash64("node"), "n").alias("block"))
+        .agg(F.collect_list(F.struct("node", "comp", "size", "delta")).alias("x")),  # about BLOCK
         "blocks",
     )
-    sifted = cut(
-        blocks.repartition("key", "block")
-        .join(blocks.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key")
-        .where("block <= other")
-        .mapInPandas(sifter(least), "key long, block long, other long, side int, node long"),
-        "sifted",
-    )
-    own = sifted.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(regs, "node").join(texts.hint("merge"), "node")
-    groups = own.groupBy("key", "block", "other").agg(F.collect_list(F.struct("side", "node", "comp", "many", "few", "text")).alias("x"))  # about 2 BLOCK
-    new = cut(groups.select("x").mapInPandas(crosser(least, k, percent), "a long, b long").distinct(), "links")
+    # Members of the centre's own component need no links among each other.
+    at = blocks.select("centre", "main", "block")
+    met = at.where("not main").select("centre", F.col("block").alias("own")).join(at, "centre").where("main or own <= block")
+    left = blocks.where("not main").select("centre", F.col("block").alias("own"), "x")
+    right = blocks.withColumnRenamed("x", "y")
+    new = cut(met.join(left, ["centre", "own"]).join(right, ["centre", "main", "block"]).select("x", "y").mapInPandas(crosser(percent), "a long, b long").distinct(), "links")
     labels = cut(components(links.union(new)), "labels")
     ids = labels.join(reps.select("node", "doc_id"), "node")
     roots = ids.groupBy("comp").agg(F.min("doc_id").alias("component"))

@@ -394,6 +394,30 @@ def test_near_duplicate_chains(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_copies_of_one_text_cross_once(spark, monkeypatch):
+    """A large family of near copies that mostly have no link: no table grows with the pairs of its blocks, and no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    base, rows = [WORDS[i] for i in rng.integers(0, 400, 150)], []
+    for i in range(300):
+        text = base.copy()
+        for j in range(int(rng.integers(1, 14))):
+            text[int(rng.integers(0, 150))] = f"e{i}x{j}"
+        rows.append((i, " ".join(text)))
+    write, tables = neardup.cut, []
+
+    def counted(df, tag, keep=False):
+        out = write(df, tag, keep)
+        tables.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "cut", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_components(rows, 3, 85)
+    assert len({r["component_id"] for r in got}) > 30
+    assert max(n for _, n in tables) <= dict(tables)["buckets"], tables
+
+
 def test_near_duplicates_across_register_kinds(spark):
     """At 80%, pairs whose sizes lie on both sides of the border of the register kinds."""
     rng = np.random.default_rng(4)
