@@ -487,6 +487,24 @@ def test_ablation(spark):
     assert all(r["clear"] for r in experiments.advantage(gaps, draws=200).collect()) and experiments.oracle_violations(summary.where("arm = 'oracle'")).isEmpty()
 
 
+def test_ablation_of_many_cases(spark):
+    """More than 10,000 queries (cases times arms), in blocks, against plain loops over some cases."""
+    n = 2600
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(n, 2)), rng.integers(0, 40, (n, 2)) / 8.0  # many ties
+    pool = spark.createDataFrame([(i, "w", i % 3, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, work string, fold int, x array<double>, y array<double>")
+    gaps = experiments.ablation(pool, pool.withColumnRenamed("id", "case_id"), 2, alphas=(1.0,))
+    got = {(r["case_id"], r["arm"], r["k"]): r["gap"] for r in gaps.where("case_id % 100 = 0").collect()}
+    for c in range(0, n, 100):
+        rest = [i for i in range(n) if i % 3 != c % 3]
+        gap = {i: float(np.abs(y[i] - y[c]).mean()) for i in rest}
+        for arm, q in (("raw", x[c]), ("oracle", y[c])):
+            order = sorted(rest, key=lambda i: (float(((y[i] - q) ** 2).sum()), i))  # noqa: B023
+            for k in (1, 3):
+                assert got[c, arm, k] == pytest.approx(np.mean([gap[i] for i in order[:k]]), abs=1e-12)
+        assert got[c, "random", 1] == pytest.approx(np.mean(list(gap.values())), abs=1e-9)
+
+
 def test_resumable(spark, tmp_path):
     source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, output string")
