@@ -477,13 +477,13 @@ def test_plugins(spark):
 
 def test_bootstrap_of_listed_and_long_groups(spark, monkeypatch):
     """Short lists are picked from in tasks, without a row for each pick; longer ones by a join, with the same result."""
-    df = spark.createDataFrame([(g, i, float((i * 7 + g) % 11)) for g in range(2) for i in range(30)], "g long, i int, v double")
+    df = spark.createDataFrame([(g, i, float((i * 7 + g) % 11)) for g in range(2) for i in range(30)], "g long, id int, v double")
     joined, draw = [], stats.draw
     monkeypatch.setattr(stats, "draw", lambda *a: joined.append(1) or draw(*a))
-    listed = sorted(tuple(r) for r in stats.bootstrap_hashed(df, "v", "i", "g", 300).collect())
+    listed = sorted(tuple(r) for r in stats.bootstrap_hashed(df, "v", "id", "g", 300).collect())
     assert not joined
     monkeypatch.setattr(stats, "MOST_LISTED", 10)
-    again = sorted(tuple(r) for r in stats.bootstrap_hashed(df, "v", "i", "g", 300).collect())
+    again = sorted(tuple(r) for r in stats.bootstrap_hashed(df, "v", "id", "g", 300).collect())
     assert joined and np.allclose(np.array(listed), np.array(again), atol=1e-12)
 
 
