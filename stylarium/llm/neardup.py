@@ -7,7 +7,9 @@ fill the registers by one permutation, those of few by one permutation per
 register, and sizes near the border by both.
 
 Rows of equal sets are one class before anything else. Classes that share a
-band key are candidates. In each star round every bucket compares its members
+band key are candidates. Texts, registers and copies meet what is asked of them
+by joins, but behind a Bloom filter of bounded size, so that rows nothing is
+asked of stay in their scan; a full filter only lets more rows reach the join. In each star round every bucket compares its members
 with one pseudo-random member by corrected register estimates, confirmed on full sets, so that large
 groups of near copies merge without all pairs. Members of buckets that still
 hold several components then meet their bucket's centre once, and keep only the
@@ -33,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.filters import filter_of, may_hold
 from .common import ByteHasher, bound_batches, components, cut, lean, mix64, scratch
 
 REGISTERS, BANDS, ROWS, MANTISSA = 256, 36, 7, 10
@@ -285,6 +288,12 @@ def verifier(k: int, percent: int):
     return run
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key, a long, is not in gone; only those that a filter of gone may hold are shuffled."""
+    held = may_hold(filter_of(gone.select(F.xxhash64(key))), F.xxhash64(F.col(key).cast("long")))
+    return rows.where(~held).union(rows.where(held).join(gone, key, "left_anti").select(*rows.columns))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, star_rounds: int = 2
 ) -> DataFrame:
@@ -308,10 +317,10 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
     )
     # A class is written by one row of its least doc_id.
     classes = signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "row", "own")).alias("rep"))
-    classes = cut(classes.select("set_id", "rep.*"), "classes")
-    reps = signed.join(classes.select("set_id", "row").hint("merge"), ["set_id", "row"], "left_semi")
-    reps = cut(reps.select(F.xxhash64("set_id").alias("node"), "doc_id", "own", "set_id", "keys", "many", "few"), "reps")
-    pairs_of = reps.select("node", F.explode("keys").alias("key"))
+    classes = cut(classes.select(F.xxhash64("set_id").alias("node"), "set_id", "rep.*"), "classes")
+    members = signed.where("set_id is not null and doc_id is not null")
+    copies = cut(members.select("set_id", "row").join(classes.select("set_id", "row"), ["set_id", "row"], "left_anti").select("row"), "copies")
+    pairs_of = without(members.select("row", "set_id", "keys"), copies, "row").select(F.xxhash64("set_id").alias("node"), F.explode("keys").alias("key"))
     sizes = (
         pairs_of.groupBy("key")
         .agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
@@ -319,12 +328,15 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
         .groupBy("n", "sum", "xor")
         .agg(F.min("key").alias("key"))  # buckets of the same members, by two 64-bit hashes, count once
     )
-    buckets = cut(pairs_of.join(sizes.select("key", "n"), "key").select("key", "n", "node"), "buckets")
-    busy = reps.join(buckets.select("node").distinct(), "node", "left_semi")
+    with scratch(docs.sparkSession):  # the shuffle files of all keys go
+        buckets = cut(pairs_of.join(sizes.select("key", "n"), "key").select("key", "n", "node"), "buckets", keep=True)
+    busy = cut(classes.select("node", "doc_id", "own", "row").join(buckets.select("node").distinct(), "node", "left_semi"), "busy")
     # Rows of one doc_id may differ in text: the text's hash names the row, and equal rows count once.
     # Tables of texts and registers are dealt by key at every size, small ones too, so that plans behave alike.
-    texts = cut(docs.join(busy.select("node", "doc_id", "own").hint("merge"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
-    regs = cut(busy.select("node", "many", "few"), "regs")
+    read = docs.where(may_hold(filter_of(busy.select(F.xxhash64("doc_id"))), F.xxhash64("doc_id")))
+    texts = cut(read.join(busy.select("node", "doc_id", "own").hint("merge"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
+    read = signed.where(may_hold(filter_of(busy.select(F.xxhash64("row"))), F.xxhash64("row")))
+    regs = cut(read.join(busy.select("node", "row").hint("merge"), "row").select("node", "many", "few"), "regs")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -384,10 +396,10 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
     right = blocks.withColumnRenamed("x", "y")
     new = cut(met.join(left, ["centre", "own"]).join(right, ["centre", "main", "block"]).select("x", "y").mapInPandas(crosser(percent), "a long, b long").distinct(), "links")
     labels = cut(components(links.union(new)), "labels")
-    ids = labels.join(reps.select("node", "doc_id"), "node")
+    ids = labels.join(classes.select("node", "doc_id"), "node")
     roots = ids.groupBy("comp").agg(F.min("doc_id").alias("component"))
     of_set = (
-        labels.join(roots, "comp").join(reps.select("node", "set_id"), "node").select("set_id", "component")
+        labels.join(roots, "comp").join(classes.select("node", "set_id"), "node").select("set_id", "component")
     )
     return (
         signed.select("doc_id", "n_shingles", "set_id")
@@ -409,4 +421,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     repeated; rows of null doc_id stay.
     """
     found = near_duplicates(docs, k=k, percent=percent).where("not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return without(docs, found, "doc_id")

@@ -418,6 +418,31 @@ def test_near_copies_of_one_text_cross_once(spark, monkeypatch):
     assert max(n for _, n in tables) <= dict(tables)["buckets"], tables
 
 
+def test_near_duplicates_shuffle_few_texts(spark):
+    """Texts that resemble no other, and rows that stay, are not shuffled."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"{x:06x}" for x in rng.integers(0, 1 << 24, 1500))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)] + [(2000, rows[7][1]), (None, rows[8][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    status, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    bus, none = spark.sparkContext._jsc.sc().listenerBus(), gateway.new_array(gateway.jvm.double, 0)
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = status.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        before = stages()
+        got = {r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()}
+        moved = sum(n for at, n in stages().items() if at not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {*range(300), None}
+    assert moved < 0.5 * sum(len(t) for _, t in rows), moved
+
+
 def test_near_duplicates_across_register_kinds(spark):
     """At 80%, pairs whose sizes lie on both sides of the border of the register kinds."""
     rng = np.random.default_rng(4)
