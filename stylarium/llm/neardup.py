@@ -29,10 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import filter_of, may_hold
@@ -288,9 +289,15 @@ def verifier(k: int, percent: int):
     return run
 
 
+def held_by(hashes: DataFrame, h: Column) -> Column:
+    """Whether a filter of the hashes, worked out once and written, may hold h."""
+    held = filter_of(hashes)
+    return may_hold(replace(held, words=cut(held.words, "filter")), h)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The rows whose key, a long, is not in gone; only those that a filter of gone may hold are shuffled."""
-    held = may_hold(filter_of(gone.select(F.xxhash64(key))), F.xxhash64(F.col(key).cast("long")))
+    held = held_by(gone.select(F.xxhash64(key)), F.xxhash64(F.col(key).cast("long")))
     return rows.where(~held).union(rows.where(held).join(gone, key, "left_anti").select(*rows.columns))
 
 
@@ -333,9 +340,9 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, star_rounds: int) ->
     busy = cut(classes.select("node", "doc_id", "own", "row").join(buckets.select("node").distinct(), "node", "left_semi"), "busy")
     # Rows of one doc_id may differ in text: the text's hash names the row, and equal rows count once.
     # Tables of texts and registers are dealt by key at every size, small ones too, so that plans behave alike.
-    read = docs.where(may_hold(filter_of(busy.select(F.xxhash64("doc_id"))), F.xxhash64("doc_id")))
+    read = docs.where(held_by(busy.select(F.xxhash64("doc_id")), F.xxhash64("doc_id")))
     texts = cut(read.join(busy.select("node", "doc_id", "own").hint("merge"), ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("node", "text"), "texts")
-    read = signed.where(may_hold(filter_of(busy.select(F.xxhash64("row"))), F.xxhash64("row")))
+    read = signed.where(held_by(busy.select(F.xxhash64("row")), F.xxhash64("row")))
     regs = cut(read.join(busy.select("node", "row").hint("merge"), "row").select("node", "many", "few"), "regs")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
